@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from drillmill.llm import mixing, spans, tokenizer
+from drillmill.llm import canonical, mixing, names, spans, tokenizer
 from drillmill.sources.tables import read_table
 
 
+def p1_found(spark, folder):
+    return names.found(read_table(spark, folder, "forms"))
+
+
+def p2_found(spark, folder):
+    return canonical.found(read_table(spark, folder, "forms"), read_table(spark, folder, "canonical_values"))
+
+
+def p2_unmatched(spark, folder):
+    return canonical.unmatched(read_table(spark, folder, "forms"), read_table(spark, folder, "canonical_values"))
+
+
 def p7_ids(spark, folder):
     return tokenizer.encode_documents(read_table(spark, folder, "documents"))
 
@@ -30,5 +42,5 @@ def p9_shared(spark, folder):
     return spans.shared_report(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 SQL: dict[str, str] = {}
