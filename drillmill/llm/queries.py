@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drillmill.llm import addresses, canonical, mixing, names, spans, tokenizer
+from drillmill.llm import addresses, canonical, mixing, names, pii, spans, tokenizer
 from drillmill.sources.tables import read_table
 
 
@@ -18,6 +18,14 @@ def p2_unmatched(spark, folder):
     return canonical.unmatched(read_table(spark, folder, "forms"), read_table(spark, folder, "canonical_values"))
 
 
+def p3_found(spark, folder):
+    return pii.found(read_table(spark, folder, "forms"))
+
+
+def p3_redacted(spark, folder):
+    return pii.redacted(read_table(spark, folder, "forms"))
+
+
 def p6_found(spark, folder):
     return addresses.found(read_table(spark, folder, "forms"))
 
@@ -50,5 +58,5 @@ def p9_shared(spark, folder):
     return spans.shared_report(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p6_found": p6_found, "p6_open": p6_open, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_found": p6_found, "p6_open": p6_open, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 SQL: dict[str, str] = {}
