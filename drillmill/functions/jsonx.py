@@ -38,27 +38,20 @@ def _text(v: object) -> str | None:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _cells(texts: pd.Series) -> pd.Series:
-    """Each pair as a JSON array [field, is_list, scalar, items]; a struct of arrays would lose the order of fields."""
+    """Each pair as the JSON of a CELL."""
     out = []
     for t in texts:
         row = []
         for k, v in read_object(t).items():
             many = isinstance(v, list)
-            row.append(json.dumps([k, many, None if many else _text(v), [str(x) for x in v] if many else None], ensure_ascii=False))
+            row.append(json.dumps({"field": k, "is_list": many, "scalar": None if many else _text(v), "items": [str(x) for x in v] if many else None}, ensure_ascii=False))
         out.append(row)
     return pd.Series(out, dtype=object)
 
 
 def parse_cells(raw: Column) -> Column:
     """ARRAY<STRUCT<field, is_list, scalar, items>> of an answer, read exactly; empty for what holds no object."""
-    parsed = _cells(json_slice(raw))
-
-    def one(x: Column) -> Column:
-        get = lambda i: F.get_json_object(x, f"$[{i}]")
-        items = F.from_json(get(3), "array<string>")
-        return F.struct(get(0).alias("field"), (get(1) == "true").alias("is_list"), get(2).alias("scalar"), items.alias("items"))
-
-    return F.transform(parsed, one)
+    return F.transform(_cells(json_slice(raw)), lambda x: F.from_json(x, CELL.simpleString()))
 
 
 def parse_fast(raw: Column) -> Column:

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from drillmill.functions.jsonx import json_slice
 from drillmill.functions.text import multi_join
-from drillmill.schema import checkbox_spec
-
-_NONE = F.array
+from drillmill.schema import CHECKBOX_SPEC
 
 
 def keep_options(selected: Column, options: Column) -> Column:
@@ -38,11 +36,10 @@ def checkbox_cells(responses: DataFrame, field: str | None = None) -> DataFrame:
     responses: source_file, page_no, task, raw; raw holds {"selected": [...]}. Without field, an answer belongs to the
     method of alarm activation, the group that this table's answers are about.
     """
-    spark = responses.sparkSession
-    spec = checkbox_spec(spark).where(F.col("field") == (field or "Method_of_Alarm_Activation"))
+    _, name, _, options, multi, _, _, output = next(x for x in CHECKBOX_SPEC if x[1] == (field or "Method_of_Alarm_Activation"))
     answers = responses.where((F.col("task") == "checkbox") & F.col("raw").isNotNull())
     selected = F.from_json(F.get_json_object(json_slice(F.col("raw")), "$.selected"), "array<string>")
     rows = answers.select("source_file", "page_no", F.coalesce(selected, F.array().cast("array<string>")).alias("selected"))
-    joined = rows.join(F.broadcast(spec.drop("page_no")))  # one spec row: a projection, not a product
-    value = group_value(coerce_selection(keep_options(F.col("selected"), F.col("options")), F.col("multi")), F.col("output"))
-    return joined.select("source_file", "page_no", "field", value.alias("v")).select("source_file", "page_no", "field", "v.*").dropDuplicates()
+    allowed = F.array(*(F.lit(o) for o in options))
+    value = group_value(coerce_selection(keep_options(F.col("selected"), allowed), F.lit(multi)), F.lit(output))
+    return rows.select("source_file", "page_no", F.lit(name).alias("field"), value.alias("v")).select("source_file", "page_no", "field", "v.*").dropDuplicates()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drillmill.functions.text import csv_list, csv_scalar
-from drillmill.schema import CHECKBOX_FIELDS, FIELD_LIST, FIRST_PAGE_FIELDS, LIST_FIELDS, NA, SCALAR_FIELDS
+from drillmill.schema import CHECKBOX_FIELDS, FIELD_LIST, FIRST_PAGE_FIELDS, LIST_FIELDS, NA
 
 VALUE = ("is_list", "scalar", "items")
 
@@ -33,9 +33,13 @@ def override_cells(cells: DataFrame, overrides: DataFrame, fields: Sequence[str]
 
 
 def merge_pages(cells: DataFrame, key: Sequence[str] = ("source_file",)) -> DataFrame:
-    """Of each key and field the cell of the last page, even if it is NULL or NA; of one page written twice the greatest."""
+    """Of each key and field the cell of the last page, even if it is NULL or NA.
+
+    Where one page has the cell twice, a value goes before NULL, and the greatest value before others.
+    """
     value = F.struct(*VALUE)
-    last = F.max_by(value, F.struct("page_no", F.to_json(value)))
+    given = F.col("scalar").isNotNull() | F.col("items").isNotNull()
+    last = F.max_by(value, F.struct("page_no", given.alias("given"), "scalar", "items"))
     return cells.groupBy(*key, "field").agg(last.alias("v")).select(*key, "field", "v.*")
 
 
@@ -77,5 +81,3 @@ def extract_rows(files: DataFrame, cells: DataFrame, overrides: DataFrame | None
         cells = override_cells(cells, overrides)
     return backfill(files, wide_rows(merge_pages(cells)))
 
-
-__all__ = ["LIST_FIELDS", "SCALAR_FIELDS", "backfill", "extract_rows", "filled_count", "merge_pages", "override_cells", "page_of_field", "split_fields", "unpivot_forms", "wide_rows", "zip_residents"]

@@ -11,6 +11,7 @@ from drillmill.functions.text import line_angle, normalize_text
 
 PAGE = ("source_file", "page_no")
 LINE = (*PAGE, "block_num", "par_num", "line_num")
+MAX_SPEC = 1000
 
 
 def group_lines(words: DataFrame, key: Sequence[str] = LINE, offset: Column | int = 0) -> DataFrame:
@@ -37,13 +38,16 @@ def has_keywords(line_text: Column, keywords: Column) -> Column:
 def anchor_lines(lines: DataFrame, spec: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """page, field and the box of the topmost line that holds a spec row's keywords; ties go to the first token.
 
-    spec is the fixed list of checkbox groups: the loop over it is a broadcast of a few rows.
+    spec is the list of checkbox groups, of checked size: it becomes a literal that each line is unfolded over.
     """
-    keyed = spec.select("field", "keywords", F.col("page_no").alias("spec_page")) if "page_no" in spec.columns else spec.select("field", "keywords", F.lit(None).cast("int").alias("spec_page"))
-    on = has_keywords(F.col("line_text"), F.col("keywords"))
-    if "page_no" in lines.columns:
-        on = on & (F.col("spec_page").isNull() | (F.col("spec_page") == F.col("page_no")))
-    hits = lines.join(F.broadcast(keyed), on)
+    rows = spec.limit(MAX_SPEC + 1).collect()
+    if len(rows) > MAX_SPEC:
+        raise ValueError(f"a spec of more than {MAX_SPEC} groups")
+    if not rows:
+        return lines.select(*page, F.lit("").alias("field"), "x1", "y1", "x2", "y2", "line_text").where(F.lit(False))
+    groups = [F.struct(F.lit(r["field"]).alias("field"), F.array(*(F.lit(k) for k in r["keywords"])).alias("keywords"), F.lit(r["page_no"] if "page_no" in spec.columns else None).cast("int").alias("page_no")) for r in rows]
+    on = lambda g: has_keywords(F.col("line_text"), g["keywords"]) & (g["page_no"].isNull() | (g["page_no"] == F.col("page_no"))) if "page_no" in lines.columns else has_keywords(F.col("line_text"), g["keywords"])
+    hits = lines.withColumn("field", F.explode(F.transform(F.filter(F.array(*groups), on), lambda g: g["field"])))
     box = F.struct("x1", "y1", "x2", "y2", "line_text")
     return hits.groupBy(*page, "field").agg(F.min_by(box, F.struct("y1", "first_idx")).alias("b")).select(*page, "field", "b.*")
 

@@ -67,7 +67,10 @@ def overall(scores: DataFrame, n_docs: DataFrame | None = None, by: Sequence[str
         F.coalesce(F.try_divide(F.sum("exact"), F.sum("n")), F.lit(0.0)).alias("overall_exact"), F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1"),
         F.sum("n").alias("cells"), F.sum("exact").alias("exact_cells"),
     )
-    return total if n_docs is None else total.crossJoin(F.broadcast(n_docs))  # one row each
+    if n_docs is None:
+        return total
+    one = F.lit(1).alias("k")  # a row each
+    return total.select("*", one).join(F.broadcast(n_docs.select("*", one)), "k").drop("k")
 
 
 def evaluate(gold: DataFrame, pred: DataFrame, key: Sequence[str] = ("source_file",), missing_docs: str = "drop") -> tuple[DataFrame, DataFrame]:
