@@ -172,18 +172,18 @@ def coerce_selection(spark, folder):
     """WITH base AS (SELECT DISTINCT form_id, field, is_list, scalar, items FROM cells),
     c AS (SELECT form_id, field, scalar FROM (SELECT *, row_number() OVER (PARTITION BY form_id, field ORDER BY scalar NULLS LAST) k FROM base WHERE NOT is_list AND field IN ('Evacuation_Type', 'Type_of_Evacuation', 'was_drill_observed')) WHERE k = 1),
     once AS (SELECT DISTINCT ON (form_id) form_id, Evacuation_Type FROM forms ORDER BY form_id, received_at),
-    o AS (SELECT form_id, 'Evacuation_Type' AS field, CASE WHEN Evacuation_Type = 'Other' THEN 'NA' ELSE Evacuation_Type END AS scalar FROM once WHERE form_id % 2 = 0)
+    o AS (SELECT form_id, 'Evacuation_Type' AS field, CASE WHEN Evacuation_Type = 'Other' THEN 'NA' ELSE Evacuation_Type END AS scalar FROM once WHERE Evacuation_Type IS NOT NULL)
     SELECT coalesce(c.form_id, o.form_id) AS form_id, coalesce(c.field, o.field) AS field, CASE WHEN o.form_id IS NOT NULL THEN o.scalar ELSE c.scalar END AS scalar
     FROM c FULL JOIN o ON c.form_id = o.form_id AND c.field = o.field""",
 )
 def override_merge(spark, folder):
-    """Overrides exist for every second form, the feature being that they win where they exist and only there."""
+    """Overrides exist for the forms that give a type: they win where they exist, and only there."""
     cells = read_table(spark, folder, "cells").where(~F.col("is_list") & F.col("field").isin("Evacuation_Type", "Type_of_Evacuation", "was_drill_observed"))
     key = F.col("form_id").cast("string").alias("source_file")
     once = cells.groupBy("form_id", "field").agg(F.min("scalar").alias("scalar"))
     none = F.lit(None).cast("array<string>").alias("items")
     base = once.select(key, F.lit(1).alias("page_no"), "field", F.lit(False).alias("is_list"), "scalar", none)
-    forms = forms_once(read_table(spark, folder, "forms"), ["form_id", "Evacuation_Type"]).where("form_id % 2 = 0")
+    forms = forms_once(read_table(spark, folder, "forms"), ["form_id", "Evacuation_Type"]).where("Evacuation_Type IS NOT NULL")
     value = F.when(F.col("Evacuation_Type") == "Other", "NA").otherwise(F.col("Evacuation_Type"))
     over = forms.select(key, F.lit(1).alias("page_no"), F.lit("Evacuation_Type").alias("field"), F.lit(False).alias("is_list"), value.alias("scalar"), none)
     return extract.override_cells(base, over).select(F.col("source_file").cast("long").alias("form_id"), "field", "scalar")
