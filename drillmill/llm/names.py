@@ -55,7 +55,7 @@ for _name, _short in NICKNAMES.items():
         FORMAL[_s].add(_name)
 
 _TITLE = re.compile(r"^(?:mr|mrs|ms|mx|miss|dr|nurse|supervisor|sr|jr)\b\.?\s+", re.I)
-_TAIL = re.compile(r"\s*(?:\([^()]*\)|[-–]\s*(?:yes|no|ok|y|n)\b|\b(?:ok|yes)$|[✓✔xX]$|\d+:\d\d\b.*|\b\d+\s*s(?:ec)?\b.*|w/.*)\s*$", re.I)
+_TAIL = re.compile(r"\s*(?:\([^()]*\)|[-–]\s*(?:yes|no|ok|y|n)\b|\b(?:ok|yes)$|[✓✔]$|(?<=\s)[xX]$|\d+:\d\d\b.*|\b\d+\s*s(?:ec)?\b.*|w/.*)\s*$", re.I)
 _NO_NAME = {"y", "yes", "n", "no", "na", "n/a", "ok", "x", "none", "all", "ja", "si", "sí"}
 _REMARK = re.compile(r"\d|\b(?:staff|visitor|visitors|guest|relief|nobody)\b", re.I)
 
@@ -217,7 +217,7 @@ def link_residents(residents: list[str], entries: list[str]) -> set[tuple[str, s
             for form, cost in rewritings(others[e], slips).items():
                 owners = forms.get(form, ())
                 for i, own in owners:
-                    score = 10.0 - cost - own - 0.5 * (len(owners) - 1)  # a form that several residents share says less
+                    score = 14.0 - cost - own - 0.5 * (len(owners) - 1)  # a form that several residents share says less
                     if score > best.get(i, 0.0):
                         best[i] = score
             for i, score in best.items():

@@ -12,41 +12,48 @@ NEAR |= {(a, b) for up, down, shift in ((_ROWS[0], _ROWS[1], 0), (_ROWS[1], _ROW
 
 
 def weighted_distance(a: str, b: str, limit: float) -> float:
-    """Damerau-Levenshtein (adjacent transpositions) with cheaper typing slips; more than limit once it exceeds that.
+    """Damerau-Levenshtein with cheaper typing slips; more than limit once it exceeds that.
 
-    A swap or a neighbouring key costs 0.8, a doubled or halved letter 0.7, any other edit 1.
+    A swap or a neighbouring key costs 0.8, a doubled or halved letter 0.7, any other edit 1. Letters that are swapped may have
+    others between them, at the price of these ("overcast", "oversct").
     """
     if a == b:
         return 0.0
     n, m = len(a), len(b)
-    if (abs(n - m)) * 0.7 > limit:
+    if abs(n - m) * 0.7 > limit:
         return limit + 1
-    before: list[float] = []
+    gain = [0.0] * (m + 1)  # cost of typing b[j - 1]
+    for j in range(1, m + 1):
+        gain[j] = 0.7 if j > 1 and b[j - 1] == b[j - 2] else 1.0
     prev = [0.0] * (m + 1)
     for j in range(1, m + 1):
-        prev[j] = prev[j - 1] + (0.7 if j > 1 and b[j - 1] == b[j - 2] else 1.0)
+        prev[j] = prev[j - 1] + gain[j]
+    rows = [prev]
+    seen: dict[str, int] = {}  # last row of each letter of a
     for i in range(1, n + 1):
         ca = a[i - 1]
-        double_a = 0.7 if i > 1 and ca == a[i - 2] else 1.0
-        row = [prev[0] + double_a] + [0.0] * m
-        low = row[0]
+        loss = 0.7 if i > 1 and ca == a[i - 2] else 1.0
+        row = [prev[0] + loss] + [0.0] * m
+        low, last = row[0], 0  # last: last column of this row whose letters agree
         for j in range(1, m + 1):
             cb = b[j - 1]
             best = prev[j - 1] + (0.0 if ca == cb else 0.8 if (ca, cb) in NEAR else 1.0)
-            d = prev[j] + double_a
-            if d < best:
+            if (d := prev[j] + loss) < best:
+                best = d
+            if (d := row[j - 1] + gain[j]) < best:
                 best = d
-            d = row[j - 1] + (0.7 if j > 1 and cb == b[j - 2] else 1.0)
-            if d < best:
+            if last and (k := seen.get(cb, 0)) and (d := rows[k - 1][last - 1] + (i - k - 1) + 0.8 + (j - last - 1)) < best:
                 best = d
-            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb and before[j - 2] + 0.8 < best:
-                best = before[j - 2] + 0.8
+            if ca == cb:
+                last = j
             row[j] = best
             if best < low:
                 low = best
-        if low > limit and (i < 2 or min(prev) > limit):
+        if low > limit + 1 and min(prev) > limit + 1:
             return limit + 1
-        before, prev = prev, row
+        seen[ca] = i
+        rows.append(row)
+        prev = row
     return prev[m]
 
 
