@@ -13,8 +13,8 @@ A source whose target can't be met is used as often as allowed, and the report s
 Scale: tokens are counted once and kept in the shared checkpoint folder with id and source only; steps read that, and
 shuffle a few partial sums. mix_targets is a fixed small table, checked before it is broadcast.
 
-Defined results: texts that are NULL or have no tokens, and sources that no target names (NULL too), are not used; repeated
-doc_ids with one text count once; no targets or no documents give an empty mix; weights are normalised if they don't sum to 1.
+Defined results: texts that are NULL or have no tokens, and sources that no target names (NULL too), are not used; equal texts
+are one text, under the smallest doc_id; no targets or no documents give an empty mix; weights are normalised if they don't sum to 1.
 """
 
 from __future__ import annotations
@@ -45,9 +45,13 @@ def read_targets(targets: DataFrame) -> list[dict]:
 
 
 def token_table(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, source, n_tokens, written once; repeated doc_ids count once."""
-    counted = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", count_column(documents.sparkSession, "text", path).cast("long").alias("n_tokens"))
-    return cut(counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("x")).select("doc_id", "x.source", "x.n_tokens"))
+    """doc_id, source, n_tokens of every text, written once.
+
+    Texts that are the same word for word are one text, as it must not be used more often than allowed under several ids:
+    the smallest doc_id stands for it. Tokens are counted before the texts are compared, so texts aren't shuffled.
+    """
+    counted = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", F.xxhash64("text").alias("k1"), F.md5("text").alias("k2"), count_column(documents.sparkSession, "text", path).cast("long").alias("n_tokens"))
+    return cut(counted.where("n_tokens > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("x")).select("x.*"))
 
 
 def _with(df: DataFrame, settings: dict[str, dict]) -> DataFrame:
@@ -125,8 +129,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """(copies: doc_id, source, n_tokens, copies of every used text; shares: the report by source)."""
     spark = documents.sparkSession
     wanted = read_targets(targets)
-    tokens = token_table(documents, path).where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
-    have = {r["source"]: (r["n"], r["docs"]) for r in tokens.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()}
+    named = F.broadcast(spark.createDataFrame([(w["source"],) for w in wanted], "source string"))
+    tokens = token_table(documents.select("doc_id", "source", "text").join(named, "source", "left_semi"), path)
+    have = {r["source"]: (r["n"], r["docs"]) for r in tokens.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()}
     plan = {w["source"]: {"share": w["share"], "cap": w["cap"], "have": have.get(w["source"], (0, 0))[0], "docs": have.get(w["source"], (0, 0))[1]} for w in wanted}
     usable = {s: p for s, p in plan.items() if p["have"] * p["cap"] > 0}
     if total_tokens is None:
