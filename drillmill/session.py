@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int | str = "*", partitions: int = 8, app: str = "drillmill") -> SparkSession:
-    """A local session with the settings that the tests and the bench use."""
+    """A local session with the settings that the tests and the bench use; its workers find this package."""
+    root = str(Path(__file__).resolve().parents[1])
+    os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (root, os.environ.get("PYTHONPATH")) if x)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
