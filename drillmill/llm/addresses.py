@@ -60,9 +60,9 @@ def _near_type(word: str) -> str | None:
 def parse_address(text: str) -> dict | None:
     """Levels of an address: number, street, and direction, type, unit, town and zip where written; None if there is none."""
     t = fold(text).replace("\r", "\n").replace("\n", ", ")
-    t = re.sub(r"\([^()]*\)", " ", t)
-    t = re.sub(rf"(?:^|(?<=[,;]))\s*[\w' ]{{1,40}}?\b{HOUSE}\s*(?:,|;|\s-\s|$)", ", ", t)
-    out: dict = dict.fromkeys(("number", "street", "dir", "type", "unit", "town", "zip"))
+    t = " ".join(re.sub(r"\([^()]*\)", " ", t).split())
+    t = re.sub(rf"(?:^|(?<=[,;\s]))(?:the )?[^\W\d]+ {HOUSE}\s*(?:,|;|\s-\s|$)", ", ", t)
+    out: dict = dict.fromkeys(("number", "street", "dir", "type", "unit", "town", "zip", "saint"))
     zips = [m for m in _ZIP.finditer(t)]
     if zips:
         m = zips[-1]
@@ -100,7 +100,8 @@ def parse_address(text: str) -> dict | None:
         out["street"] = w.pop(0)
         if w and (kind := _near_type(w[0])):
             out["type"] = kind
-            w.pop(0)
+            if w.pop(0) == "st" and w:
+                out["saint"] = "st"  # "Elm St Albans" may be Elm Street, Albans or Elm, Saint Albans
         return w
 
     def street_last(words: list[str]) -> list[str]:
@@ -115,6 +116,7 @@ def parse_address(text: str) -> dict | None:
         return w
 
     town: list[str] = []
+    left: list[str] = []
     # without any street type, a word that begins town names ("North", "Fort") after the number means that the street leads
     untyped = not any(_near_type(x) for x in after[1:])
     typed_before = any(_near_type(x) for x in before[1:]) or bool(before and after and untyped and after[0] in TOWN_PARTS)
@@ -137,10 +139,11 @@ def parse_address(text: str) -> dict | None:
         head = [TOWN_PARTS[w] for w in town[:-1] if w in TOWN_PARTS]
         base = "".join(w for k, w in enumerate(town) if k == len(town) - 1 or w not in TOWN_PARTS)
         out["town"] = " ".join([*head, base])
+    out["saint"] = f"saint {out['town']}" if out["saint"] and out["town"] and town is left else None
     return out
 
 
-LEVELS = T.StructType([T.StructField(c, T.StringType()) for c in ("number", "street", "dir", "type", "unit", "town", "zip")])
+LEVELS = T.StructType([T.StructField(c, T.StringType()) for c in ("number", "street", "dir", "type", "unit", "town", "zip", "saint")])
 
 
 @F.pandas_udf(LEVELS)
@@ -167,7 +170,7 @@ def _town_roots(parsed: DataFrame) -> DataFrame:
     a, b = (forms.select("head", "form", F.col("town").alias(f"town_{x}"), F.col("base").alias(f"base_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     meets = a.join(b, ["head", "form"]).where(F.col("n_b") >= 3 * F.col("n_a")).select("town_a", "town_b", "base_a", "base_b", "n_b").distinct()
     near = meets.withColumn("d", _distance("base_a", "base_b")).where("d <= 2.0")
-    up = near.groupBy("town_a").agg(F.max_by("town_b", F.struct("n_b", -F.col("d"), "town_b")).alias("up")).select(F.col("town_a").alias("town"), "up")
+    up = near.groupBy("town_a").agg(F.max_by("town_b", F.struct(-F.col("d"), "n_b", "town_b")).alias("up")).select(F.col("town_a").alias("town"), "up")
     roots = towns.join(up, "town", "left").select("town", F.coalesce("up", "town").alias("town_root"))
     again = roots.select(F.col("town").alias("town_root"), F.col("town_root").alias("next"))
     return roots.join(again, "town_root").select("town", F.col("next").alias("town_root"))
@@ -181,9 +184,11 @@ def _street_roots(parsed: DataFrame) -> DataFrame:
     a, b = (forms.select("number", "form", *(F.col(c).alias(f"{c}_{x}") for c in ("street", "t0", "t1", "all"))) for x in "ab")
     higher = F.struct("all_b", "street_b") > F.struct("all_a", "street_a")
     agree = F.col("t0_a").isNull() | F.col("t0_b").isNull() | (F.col("t0_a").between(F.col("t0_b"), F.col("t1_b"))) | (F.col("t0_b").between(F.col("t0_a"), F.col("t1_a")))
-    meets = a.join(b, ["number", "form"]).where(higher & agree).select("number", "street_a", "street_b", "all_b").distinct()
-    near = meets.withColumn("d", _distance("street_a", "street_b")).where("d <= 2.0")
-    up = near.groupBy("number", "street_a").agg(F.max_by("street_b", F.struct("all_b", -F.col("d"), "street_b")).alias("up")).select("number", F.col("street_a").alias("street"), "up")
+    both = F.col("t0_a").isNotNull() & F.col("t0_b").isNotNull()
+    meets = a.join(b, ["number", "form"]).where(higher & agree).select("number", "street_a", "street_b", "all_b", both.alias("both")).distinct()
+    # two edits only where localities speak for it
+    near = meets.withColumn("d", _distance("street_a", "street_b")).where("d <= 1.0 OR both AND d <= 2.0")
+    up = near.groupBy("number", "street_a").agg(F.max_by("street_b", F.struct(-F.col("d"), "all_b", "street_b")).alias("up")).select("number", F.col("street_a").alias("street"), "up")
     roots = cut(nodes.select("number", "street").join(up, ["number", "street"], "left").select("number", "street", F.coalesce("up", "street").alias("street_root")))
     for _ in range(2):
         again = roots.select("number", F.col("street").alias("street_root"), F.col("street_root").alias("next"))
@@ -239,6 +244,11 @@ def places(forms: DataFrame) -> DataFrame:
     once = forms_once(forms, ["form_id", ADDRESS]).where(F.col(ADDRESS).isNotNull()).withColumnRenamed(ADDRESS, "text")
     texts = once.groupBy("text").agg(F.count("*").alias("n"))
     read = cut(texts.select("text", "n", _parse("text").alias("p")).where("p.number is not null").select("text", "n", "p.*"))
+    named = read.where("town is not null").groupBy("town").agg(F.sum("n").alias("seen"))
+    saints = named.select(F.col("town").alias("saint"), F.col("seen").alias("saint_seen"))
+    read = read.join(named, "town", "left").join(saints, "saint", "left")
+    is_saint = F.coalesce("saint_seen", F.lit(0)) > F.coalesce("seen", F.lit(0))
+    read = cut(read.select("text", "n", "number", "street", "dir", F.when(~is_saint, F.col("type")).alias("type"), "unit", F.when(is_saint, F.col("saint")).otherwise(F.col("town")).alias("town"), "zip"))
     towns = cut(_town_roots(read))
     located = read.join(towns, "town", "left").drop("town").withColumnRenamed("town_root", "town")
     # region level: the locality that most texts with this post code name

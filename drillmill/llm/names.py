@@ -335,7 +335,7 @@ def agency_classes(forms: DataFrame) -> DataFrame:
     a, b = (exploded.select("type", "form", F.col("stem").alias(f"stem_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     meets = a.join(b, ["type", "form"]).where(F.col("n_b") >= 2 * F.col("n_a")).select("type", "stem_a", "stem_b", "n_b").distinct()
     near = meets.withColumn("d", _distance("stem_a", "stem_b")).where("d <= 2.0")
-    parents = near.groupBy("type", "stem_a").agg(F.max_by("stem_b", F.struct("n_b", -F.col("d"), "stem_b")).alias("up"))
+    parents = near.groupBy("type", "stem_a").agg(F.max_by("stem_b", F.struct(-F.col("d"), "n_b", "stem_b")).alias("up"))
     roots = cut(typed.join(parents.select("type", F.col("stem_a").alias("stem"), "up"), ["type", "stem"], "left").select("type", "stem", "n", F.coalesce("up", "stem").alias("root")))
     for _ in range(3):  # counts at least double along pointers, so chains are short: 2^3 steps cover counts of 2^8 and more
         up = roots.select("type", F.col("stem").alias("root"), F.col("root").alias("next"))

@@ -8,7 +8,7 @@ PARSED = [
     ("ularadle boulevard 1468, pinewold, n.y.", ("1468", "ularadle", None, "boulevard", None, "pinewold", None)),
     ("#147 Loringleigh Drive,Larchsedge NY", ("147", "loringleigh", None, "drive", None, "larchsedge", None)),
     ("Apt 1C, 249 Melumrise Terrace, Ft. Cobblewold, New York", ("249", "melumrise", None, "terrace", "1c", "fort cobblewold", None)),
-    ("Heron Home - 1475 Holunham Crt,Mount Cranecross, N.Y.", ("1475", "holunham", None, "court", None, "mount cranecross", None)),
+    ("Heron  Home - 1475 Holunham Crt,Mount Cranecross, N.Y.", ("1475", "holunham", None, "court", None, "mount cranecross", None)),
     ("1071 OLELSIDE LN (CEDAR COTTAGE); LARCHBRIDGE 00131-2071", ("1071", "olelside", None, "lane", None, "larchbridge", "00131")),
     ("No. 856 W Pemunvale St.; Mount Stonewold", ("856", "pemunvale", "w", "street", None, "mount stonewold", None)),
     ("SELUNTREE #1152, FT WRENPOINT", ("1152", "seluntree", None, None, None, "fort wrenpoint", None)),
@@ -49,3 +49,9 @@ def test_found(make_forms):
     assert got == want
     assert {r.form_id for r in A.open_addresses(forms).collect()} == {5, 12}
     assert A.found(forms.where("1 = 0")).count() == 0
+
+
+def test_saint_or_street(make_forms):
+    rows = ["148 Tolumfield Road, Saint Cranefold", "12 Oak Lane, St. Cranefold", "148 TOLUMFIELD ST. CRANEFOLD", "9 Elm St Ashford", "9 Elm Street, Ashford", "Mt. Otterburn Juniper Cottage, 1301 Brenevvale St.", "1301 Brenevvale Street, Mount Otterburn"]
+    forms = make_forms(*({"form_id": i, A.ADDRESS: t} for i, t in enumerate(rows)))
+    assert {(r.form_a, r.form_b) for r in A.found(forms).collect()} == {(0, 2), (3, 4), (5, 6)}
