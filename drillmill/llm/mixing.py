@@ -50,8 +50,9 @@ def token_table(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     Texts that are the same word for word are one text, as it must not be used more often than allowed under several ids:
     the smallest doc_id stands for it. Tokens are counted before the texts are compared, so texts aren't shuffled.
     """
-    counted = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", F.xxhash64("text").alias("k1"), F.md5("text").alias("k2"), count_column(documents.sparkSession, "text", path).cast("long").alias("n_tokens"))
-    return cut(counted.where("n_tokens > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("x")).select("x.*"))
+    # only the empty text has no tokens; a condition on the count would have it computed twice
+    counted = documents.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select("doc_id", "source", F.xxhash64("text").alias("k1"), F.md5("text").alias("k2"), count_column(documents.sparkSession, "text", path).cast("long").alias("n_tokens"))
+    return cut(counted.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("x")).select("x.*"))
 
 
 def _with(df: DataFrame, settings: dict[str, dict]) -> DataFrame:
