@@ -8,15 +8,17 @@ ways and character by character, so hashes decide nothing. Maximal runs of min_c
 Scale: equal texts are one text until the end, so groups of copies cost nothing; seeds are counted before they are joined,
 with partial aggregation; a seed that very many texts share is a run they all share, and its pairs are the result asked for.
 Only such a seed's rows are spread over salted parts, as many as its count asks for, so that no task holds the whole group. Seeds of one diagonal that follow each other
-become one row before any text is fetched. Lineage is cut through the shared checkpoint folder.
+become one row before any text is fetched. A stretch that repeats a short period sends its first and last seeds and their
+step; from these all its diagonals follow without a row for each. Lineage is cut through the shared checkpoint folder.
 
 Defined results: characters are code points, as stored; NULL, empty and short texts share nothing; a run within one text
 counts only against other texts; repeated doc_ids with the same text count once; extra columns are ignored. Where both texts
-repeat one short period, their shared run is reported from the period's ends.
+repeat one short period, the run of every diagonal counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,23 +100,31 @@ def winnow(hashes: np.ndarray, w: int, last: np.ndarray | None = None) -> np.nda
     return np.flatnonzero(_sliding(np.concatenate((edge, low, edge)), w, np.maximum, 0) == hashes)
 
 
-def thin_periods(owner: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Mask without the inner ones of equal seeds that follow each other at one step under k (a stretch that repeats a period).
-
-    Two texts that share such a stretch share a run from its start or to its end, on the diagonal of those seeds.
+def thin_periods(owner: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, step): the mask leaves out the inner ones of equal seeds that follow each other at one step under k (a stretch
+    that repeats a period); step is that of a seed next to one left out, else 0. What is left out `periodic_runs` makes good.
     """
     keep = np.ones(len(at), bool)
+    steps = np.zeros(len(at), np.int64)
     if len(at) > 2:
         order = np.lexsort((at, h, owner))
         same = (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1])
         step = np.where(same, at[order][1:] - at[order][:-1], -1)
         inner = (step[1:] == step[:-1]) & (step[1:] > 0) & (step[1:] < k)
         keep[order[1:-1][inner]] = False
-    return keep
+        # where one stretch ends and the next starts, the first one's step stays; the next has its own last seed
+        steps[order[:-2][inner]] = step[1:][inner]
+        steps[order[2:][inner]] = step[1:][inner]
+    return keep, steps
 
 
 def block_seeds(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the text, hash, position) of the seeds of texts that hold k + w - 1 characters or more."""
+    return stepped_seeds(texts, k, w)[:3]
+
+
+def stepped_seeds(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the step of the stretch that a seed starts or ends, else 0."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     hashes = gram_hashes(_code_points("".join(texts)), k)
@@ -124,8 +134,8 @@ def block_seeds(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarra
     at = winnow(np.where(places <= last, hashes, np.iinfo(np.uint64).max), w, last)
     at = at[at <= last[at]]
     owner, h, at = owner[at], hashes[at], at - (ends - sizes)[owner[at]]
-    keep = thin_periods(owner, h, at, k)
-    return owner[keep], h[keep], at[keep]
+    keep, step = thin_periods(owner, h, at, k)
+    return owner[keep], h[keep], at[keep], step[keep]
 
 
 def _pieces(reps: np.ndarray, texts: list[str], overlap: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
@@ -150,8 +160,8 @@ def _seeds(k: int, w: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ids, offsets, parts in _pieces(batch["rep"].to_numpy(), batch["text"].tolist(), k + w - 2):
-                owner, h, at = block_seeds(parts, k, w)
-                yield pd.DataFrame({"rep": np.array(ids, np.int64)[owner], "h": h.view(np.int64), "at": (at + np.array(offsets, np.int64)[owner]).astype("int32")})
+                owner, h, at, step = stepped_seeds(parts, k, w)
+                yield pd.DataFrame({"rep": np.array(ids, np.int64)[owner], "h": h.view(np.int64), "at": (at + np.array(offsets, np.int64)[owner]).astype("int32"), "step": step.astype("int32")})
 
     return run
 
@@ -167,28 +177,97 @@ def common_run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     return start, max(0, end - start)
 
 
-def _extend(min_chars: int):
+def _stretch(x: np.ndarray, i: int, step: int) -> tuple[int, int]:
+    """(start, end) of the longest stretch around i that repeats with this step."""
+    breaks = np.flatnonzero(x[:-step] != x[step:])
+    k = np.searchsorted(breaks, i)
+    return int(breaks[k - 1]) + 1 if k > 0 else 0, int(breaks[k]) + step if k < len(breaks) else len(x)
+
+
+def periodic_runs(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int, int, int]], k: int, min_chars: int) -> np.ndarray:
+    """Rows (start in a, start in b, length) of the maximal runs of min_chars or more on all diagonals of stretches of one period.
+
+    places: (seed in a, seed in b, step in a, step in b), of which one step at least isn't 0. Both stretches reach as far as
+    the period does, so on each diagonal they share just what they overlap; only where both start or both end together the run
+    may go on beyond them and is compared character by character.
+    """
+    out, done = [np.empty((0, 3), np.int64)], []
+
+    def single(i: int, j: int) -> None:
+        start, n = common_run(a, b, i, j)
+        if n >= min_chars:
+            out.append(np.array([[start, start + j - i, n]]))
+
+    for i, j, step_a, step_b in places:
+        if any(a0 <= i and i + k <= a1 and b0 <= j and j + k <= b1 and (j - i - d) % s == 0 for a0, a1, b0, b1, s, d in done):
+            continue
+        gram = a[i : i + k]
+        if not np.array_equal(gram, b[j : j + k]):
+            continue
+        s = math.gcd(step_a, step_b)
+        if not np.array_equal(gram[s:], gram[:-s]):  # two long steps without a period in common: seed by seed
+            (a0, a1), (b0, b1) = _stretch(a, i, step_a), _stretch(b, j, step_b)
+            for x in range(a0 + (i - a0) % step_a, a1 - k + 1, step_a):
+                for y in range(b0 + (j - b0) % step_b, b1 - k + 1, step_b):
+                    single(x, y)
+            continue
+        (a0, a1), (b0, b1) = _stretch(a, i, s), _stretch(b, j, s)
+        done.append((a0, a1, b0, b1, s, j - i))
+        if min(a1 - a0, b1 - b0) >= min_chars:
+            low = b0 - a1 + min_chars
+            d = np.arange(low + (j - i - low) % s, b1 - a0 - min_chars + 1, s)
+            d = d[(d != b0 - a0) & (d != b1 - a1)]
+            start = np.maximum(a0, b0 - d)
+            out.append(np.stack((start, start + d, np.minimum(a1, b1 - d) - start), axis=1))
+        for d in {b0 - a0, b1 - a1}:
+            if (j - i - d) % s == 0:
+                single(max(a0, b0 - d), max(a0, b0 - d) + d)
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _extend(k: int, min_chars: int, one: bool):
+    def pair(a: np.ndarray, b: np.ndarray, diagonals) -> np.ndarray:
+        found, periodic = [], []
+        for g in diagonals:
+            d, done = g["d"], -1
+            periodic += [(p["at_a"], p["at_a"] + d, p["step_a"], p["step_b"]) for p in g["periodic"]]
+            for i in np.unique(np.asarray(g["places"])):
+                if i < done:
+                    continue
+                start, n = common_run(a, b, int(i), int(i) + d)
+                done = start + n
+                if n >= min_chars:
+                    found.append((start, start + d, n))
+                    if one:
+                        return np.array(found)
+        runs = np.array(found, np.int64).reshape(-1, 3)
+        if periodic:
+            runs = np.unique(np.concatenate((runs, periodic_runs(a, b, periodic, k, min_chars))), axis=0)
+        return runs[:1] if one else runs
+
+    def frame(out: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+        sizes = [len(runs) for _, _, runs in out]
+        runs = np.concatenate([np.empty((0, 3), np.int64), *(runs for _, _, runs in out)])
+        ids = {name: np.repeat(np.array([o[at] for o in out], np.int64), sizes) for at, name in enumerate(("ra", "rb"))}
+        return pd.DataFrame(ids | {name: runs[:, at].astype("int32") for at, name in enumerate(("start_a", "start_b", "n"))})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, size = [], 0
             codes: dict[int, np.ndarray] = {}
             for ra, rb, ta, tb, diagonals in zip(batch["ra"], batch["rb"], batch["ta"], batch["tb"], batch["diagonals"], strict=True):
                 if ra not in codes:
                     if len(codes) > 256:
                         codes.clear()
                     codes[ra] = _code_points(ta)
-                a, b = codes[ra], _code_points(tb)
-                for g in diagonals:
-                    d, places = g["d"], np.unique(np.asarray(g["places"]))
-                    done = -1
-                    for i in places:
-                        if i < done:
-                            continue
-                        start, n = common_run(a, b, int(i), int(i) + d)
-                        done = start + n
-                        if n >= min_chars:
-                            out.append((ra, rb, start, start + d, n))
-            yield pd.DataFrame(out, columns=["ra", "rb", "start_a", "start_b", "n"]).astype({"ra": "int64", "rb": "int64", "start_a": "int32", "start_b": "int32", "n": "int32"})
+                runs = pair(codes[ra], _code_points(tb), diagonals)
+                if len(runs):
+                    out.append((ra, rb, runs))
+                    size += len(runs)
+                if size >= BLOCK:
+                    yield frame(out)
+                    out, size = [], 0
+            yield frame(out)
 
     return run
 
@@ -203,33 +282,39 @@ def text_classes(documents: DataFrame, min_chars: int = MIN_CHARS) -> tuple[Data
     return members.select("doc_id", "rep"), members.where(F.col("text").isNotNull()).select("rep", "text")
 
 
-def shared_spans(texts: DataFrame, min_chars: int = MIN_CHARS, k: int | None = None) -> DataFrame:
-    """ra, rb, start_a, start_b, n: maximal runs of at least min_chars code points that two different texts share, ra < rb."""
+def shared_spans(texts: DataFrame, min_chars: int = MIN_CHARS, k: int | None = None, one: bool = False) -> DataFrame:
+    """ra, rb, start_a, start_b, n: maximal runs of at least min_chars code points that two different texts share, ra < rb.
+
+    one: only some one run of each two texts.
+    """
     k = k or max(1, min_chars * 3 // 5)  # long seeds hardly meet by chance; the rest of min_chars is the winnowing window
     if not 0 < k <= min_chars:
         raise ValueError("a seed has at most min_chars characters")
-    seeds = cut(texts.mapInPandas(_seeds(k, min_chars - k + 1), "rep long, h long, at int"))
+    seeds = cut(texts.mapInPandas(_seeds(k, min_chars - k + 1), "rep long, h long, at int, step int"))
     counts = seeds.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"))
     often = counts.where(F.col("lo") < F.col("hi")).select("h", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
     common = seeds.join(often, "h")
-    left = common.select("h", F.col("rep").alias("ra"), F.col("at").alias("at_a"), F.pmod(F.xxhash64("rep", "at"), F.col("salts")).cast("int").alias("salt"))
-    right = common.select("h", F.col("rep").alias("rb"), F.col("at").alias("at_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left = common.select("h", F.col("rep").alias("ra"), F.col("at").alias("at_a"), F.col("step").alias("step_a"), F.pmod(F.xxhash64("rep", "at"), F.col("salts")).cast("int").alias("salt"))
+    right = common.select("h", F.col("rep").alias("rb"), F.col("at").alias("at_b"), F.col("step").alias("step_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     pairs = left.join(right, ["h", "salt"]).where(F.col("ra") < F.col("rb"))
     # a seed whose neighbour on the diagonal lies less than a seed away belongs to the same stretch; one row per stretch of
-    # at most k places keeps the lists short
-    stretch = pairs.select("ra", "rb", (F.col("at_b") - F.col("at_a")).alias("d"), "at_a", F.floor(F.col("at_a") / k).alias("cell"))
-    places = stretch.groupBy("ra", "rb", "d", "cell").agg(F.min("at_a").alias("at_a"))
-    diagonals = places.groupBy("ra", "rb", "d").agg(F.collect_list("at_a").alias("places")).groupBy("ra", "rb").agg(F.collect_list(F.struct("d", "places")).alias("diagonals"))
+    # at most k places keeps the lists short. Seeds that stand for a whole period stay as they are, in cells below 0
+    steps = F.col("step_a") + F.col("step_b") > 0
+    cell = F.when(steps, -1 - F.col("at_a")).otherwise(F.floor(F.col("at_a") / k))
+    stretch = pairs.select("ra", "rb", (F.col("at_b") - F.col("at_a")).alias("d"), "at_a", "step_a", "step_b", cell.alias("cell"))
+    places = stretch.groupBy("ra", "rb", "d", "cell", "step_a", "step_b").agg(F.min("at_a").alias("at_a"))
+    lists = F.collect_list(F.when(~steps, F.col("at_a"))).alias("places"), F.collect_list(F.when(steps, F.struct("at_a", "step_a", "step_b"))).alias("periodic")
+    diagonals = places.groupBy("ra", "rb", "d").agg(*lists).groupBy("ra", "rb").agg(F.collect_list(F.struct("d", "places", "periodic")).alias("diagonals"))
     a = texts.select(F.col("rep").alias("ra"), F.col("text").alias("ta"))
     b = texts.select(F.col("rep").alias("rb"), F.col("text").alias("tb"))
     with_text = diagonals.join(a, "ra").join(b, "rb")
-    return with_text.mapInPandas(_extend(min_chars), "ra long, rb long, start_a int, start_b int, n int")
+    return with_text.mapInPandas(_extend(k, min_chars, one), "ra long, rb long, start_a int, start_b int, n int")
 
 
 def found(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_a, doc_b: documents whose texts share a run of at least min_chars code points."""
     members, texts = text_classes(documents, min_chars)
-    pairs = shared_spans(texts, min_chars).select("ra", "rb").distinct()
+    pairs = shared_spans(texts, min_chars, one=True).select("ra", "rb")
     a, b = members.select(F.col("doc_id").alias("x"), F.col("rep").alias("ra")), members.select(F.col("doc_id").alias("y"), F.col("rep").alias("rb"))
     between = pairs.join(a, "ra").join(b, "rb").select("x", "y")
     copies = a.select("x", F.col("ra").alias("rep")).join(b.select("y", F.col("rb").alias("rep")), "rep").where(F.col("x") < F.col("y")).select("x", "y")

@@ -101,3 +101,59 @@ def test_long_texts_come_in_pieces(spark, monkeypatch):
     assert {i for i, _, _ in pieces} == {1, 2}
     assert all(long[o : o + len(t)] == t for i, o, t in pieces if i == 1)
     assert {s // 1 for s in range(9000 - 199)} <= {s for i, o, t in pieces if i == 1 for s in range(o, o + len(t) - 198)}
+
+
+def all_runs(a, b, n):
+    """Maximal runs of n characters or more, diagonal by diagonal."""
+    out = set()
+    for d in range(n - len(a), len(b) - n + 1):
+        start = None
+        for i in range(max(0, -d), min(len(a), len(b) - d) + 1):
+            if i < min(len(a), len(b) - d) and a[i] == b[i + d]:
+                start = i if start is None else start
+            elif start is not None:
+                if i - start >= n:
+                    out.add((start, start + d, i - start))
+                start = None
+    return out
+
+
+def shifted_periods(seed, count, periods, sizes):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(p)) for p in periods]
+    rows = []
+    for i in range(count):
+        text = ""
+        for _ in range(rnd.randint(1, 2)):
+            word, at = rnd.choice(words), rnd.randint(0, 59)
+            text += "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 40))) + (word * 40)[at : at + rnd.randint(*sizes)]
+        rows.append((i, text))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shifted_periods(spark, seed):
+    rows = shifted_periods(seed, 120, (1, 30, 37, 45, 60), (195, 320))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_a, r.doc_b) for r in spans.found(docs).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute(rows, 200)
+
+
+def test_runs_of_shifted_periods(spark):
+    rows = shifted_periods(3, 12, (1, 5, 30, 60, 100), (195, 400))
+    word = "".join(chr(97 + (i * i) % 26) for i in range(47))
+    rows += [(20, "s" + (word * 9)[11:300] + "e"), (21, (word * 9)[30:235] + "tail" * 5 + (word * 9)[3:210]), (22, "x" * 1000), (23, "y" + "x" * 330)]
+    texts = spark.createDataFrame(rows, "rep long, text string")
+    got = [tuple(r) for r in spans.shared_spans(texts).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j, *run) for i, a in rows for j, b in rows if i < j for run in all_runs(a, b, 200)}
+
+
+def test_steps_without_a_common_period():
+    # one seed that recurs at 5 in one text and at 7 in the other, as far as a seed of 8 goes
+    a, b = np.array([0, 1, 0, 1, 1] * 8), np.array([0, 1, 0, 1, 1, 0, 1] * 6)
+    got = spans.periodic_runs(a, b, [(0, 0, 5, 7)], 8, 8)
+    starts = [(i, j) for i in range(0, 33, 5) for j in range(0, 35, 7) if (a[i : i + 8] == b[j : j + 8]).all()]
+    want = {spans.common_run(a, b, i, j)[:1] + (spans.common_run(a, b, i, j)[0] + j - i, spans.common_run(a, b, i, j)[1]) for i, j in starts}
+    assert want and {tuple(r) for r in got.tolist()} == want
