@@ -7,7 +7,8 @@ aggregation of the documents into a row per source, the only thing that reaches
 threshold on a hash of the document; the threshold of each source is found by two histograms of tokens, so that the tokens
 used miss the target by about one document.
 
-The size of the mix is a parameter; by default it is the largest at which every source that has tokens meets its share.
+The size of the mix is a parameter; by default it is the largest at which every source that has tokens meets its share, so
+the scarcest source sets it. With `everything` it is that of all texts of the named sources, each taken once.
 A source whose target can't be met is used as often as allowed, and the report says so.
 
 Scale: tokens are counted once and kept in the shared checkpoint folder with id and source only; steps read that, and
@@ -126,7 +127,7 @@ def _thresholds(rated: DataFrame, plan: dict[str, dict]) -> dict[str, float]:
     return {s: low[s] for s in plan}
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str = VOCABULARY, everything: bool = False) -> tuple[DataFrame, DataFrame]:
     """(copies: doc_id, source, n_tokens, copies of every used text; shares: the report by source)."""
     spark = documents.sparkSession
     wanted = read_targets(targets)
@@ -135,7 +136,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     have = {r["source"]: (r["n"], r["docs"]) for r in tokens.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()}
     plan = {w["source"]: {"share": w["share"], "cap": w["cap"], "have": have.get(w["source"], (0, 0))[0], "docs": have.get(w["source"], (0, 0))[1]} for w in wanted}
     usable = {s: p for s, p in plan.items() if p["have"] * p["cap"] > 0}
-    if total_tokens is None:
+    if everything:
+        total_tokens = sum(p["have"] for p in plan.values())
+    elif total_tokens is None:
         total_tokens = int(min((p["have"] * p["cap"] / p["share"] for p in usable.values()), default=0))
     for p in plan.values():
         p["target"] = min(p["share"] * total_tokens, p["have"] * p["cap"])

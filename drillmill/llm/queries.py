@@ -50,6 +50,10 @@ def p8_shares(spark, folder):
     return mixing.mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[1]
 
 
+def p8_shares_all(spark, folder):
+    return mixing.mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"), everything=True)[1]
+
+
 def p9_found(spark, folder):
     return spans.found(read_table(spark, folder, "documents"))
 
@@ -58,7 +62,7 @@ def p9_shared(spark, folder):
     return spans.shared_report(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_found": p6_found, "p6_open": p6_open, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_found": p6_found, "p6_open": p6_open, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_all": p8_shares_all, "p9_found": p9_found, "p9_shared": p9_shared}
 # Every stretch of 200 characters against every other: the exact answer, for inputs that such a join still fits.
 _GRAMS = f"""grams AS (SELECT doc_id, p, md5(substr(text, p, {spans.MIN_CHARS})) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - {spans.MIN_CHARS - 2})) AS p FROM documents WHERE length(text) >= {spans.MIN_CHARS})),
     often AS (SELECT g FROM grams GROUP BY g HAVING count(DISTINCT doc_id) > 1), hits AS (SELECT * FROM grams WHERE g IN (SELECT g FROM often))"""

@@ -64,3 +64,12 @@ def test_two_targets_of_a_source(spark, docs):
     targets = spark.createDataFrame([("big", 0.4, 1), ("big", 0.4, 2)], TARGETS)
     with pytest.raises(ValueError, match="two targets"):
         mixing.mix(docs, targets)
+
+
+def test_unmet_targets_of_real_texts(spark, small):
+    from drillmill.llm import queries
+
+    met, all_ = (shares(queries.QUERIES[q](spark, small)) for q in ("p8_shares", "p8_shares_all"))
+    scarce = [r for r in all_.values() if r.tokens and r.tokens == r.max_repeats * r.available_tokens]
+    assert scarce and all(not r.met and r.reached_share < r.target_share for r in scarce)
+    assert sum(r.tokens for r in all_.values()) > sum(r.tokens for r in met.values())
