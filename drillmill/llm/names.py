@@ -330,16 +330,19 @@ def agency_classes(forms: DataFrame) -> DataFrame:
     read = cut(counted.select("text", "n", F.explode(_readings("text")).alias("r")).select("text", "n", F.split_part("r", F.lit(":"), F.lit(1)).alias("type"), F.split_part("r", F.lit(":"), F.lit(2)).alias("stem")))
     nodes = read.groupBy("type", "stem").agg(F.sum("n").alias("n"))
     typed = nodes.where("type <> ''")
-    # spellings of one type whose forms meet; a spelling follows the most frequent one that has at least twice its count
+    # spellings of one type whose forms meet; a spelling follows the nearest of those above it by count, then text
     exploded = typed.select("type", "stem", "n", F.explode(_forms("stem")).alias("form"))
     a, b = (exploded.select("type", "form", F.col("stem").alias(f"stem_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    meets = a.join(b, ["type", "form"]).where(F.col("n_b") >= 2 * F.col("n_a")).select("type", "stem_a", "stem_b", "n_b").distinct()
+    meets = a.join(b, ["type", "form"]).where(F.struct("n_b", "stem_b") > F.struct("n_a", "stem_a")).select("type", "stem_a", "stem_b", "n_b").distinct()
     near = meets.withColumn("d", _distance("stem_a", "stem_b")).where("d <= 2.0")
     parents = near.groupBy("type", "stem_a").agg(F.max_by("stem_b", F.struct(-F.col("d"), "n_b", "stem_b")).alias("up"))
     roots = cut(typed.join(parents.select("type", F.col("stem_a").alias("stem"), "up"), ["type", "stem"], "left").select("type", "stem", "n", F.coalesce("up", "stem").alias("root")))
-    for _ in range(3):  # counts at least double along pointers, so chains are short: 2^3 steps cover counts of 2^8 and more
+    moved = True
+    while moved:  # each step doubles how far a pointer reaches, up to the end of the longest chain
         up = roots.select("type", F.col("stem").alias("root"), F.col("root").alias("next"))
-        roots = cut(roots.join(up, ["type", "root"]).select("type", "stem", "n", F.col("next").alias("root")))
+        further = cut(roots.join(up, ["type", "root"]).select("type", "stem", "n", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        moved = not further.where("moved").isEmpty()
+        roots = further.drop("moved")
     whole = read.where("type <> ''").join(roots.select("type", "stem", "root"), ["type", "stem"])
     # several readings of one text: the organisation with most forms
     sizes = roots.groupBy("type", "root").agg(F.sum("n").alias("size"))

@@ -46,3 +46,10 @@ def test_found(make_forms):
     assert all(a < b for a, b in pairs)
     assert sum(r[0] == "person" for r in rows) == len(spell)
     assert names.found(forms.where("1 = 0")).count() == 0
+
+
+def test_slips_of_similar_counts(make_forms):
+    spell = ["Ibettnnock Supp Agcy", "Ibettnock Support Agency", "Kelqrmoor Care Network", "Kelqrmor Care Network", "Kelqrmoor Care Netwk"]
+    forms = make_forms(*({"form_id": i, names.AGENCY: t} for i, t in enumerate(spell)))
+    pairs = {(r.name_a, r.name_b) for r in names.agency_pairs(forms).collect()}
+    assert pairs == {(spell[0], spell[1])} | {(a, b) for a in spell[2:] for b in spell[2:] if a < b}
