@@ -1,7 +1,7 @@
 """Same postal address written differently (problem 6): top-down hierarchy matching.
 
 A text is parsed into levels: region (post code), locality, street, number and, below them, direction, street type and unit.
-Localities are linked first: a spelling follows the far more frequent spelling within two edits, and a post code gives its
+Localities are linked first: a spelling follows the nearest spelling within two edits that is more frequent, and a post code gives its
 locality where the text names none. Streets are linked among the records of one number whose localities agree. Then, for
 each number and street, the writings with most levels are the places, and a writing with missing levels inherits the
 levels of the places that it fits: of one, it is that place; of several, it stays open and says so.
@@ -163,17 +163,21 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _town_roots(parsed: DataFrame) -> DataFrame:
-    """town, town_root: each spelling of a locality and the far more frequent spelling that it follows."""
+    """town, town_root: each spelling of a locality and the one at the end of the spellings, each above the last by count, then text, that it follows."""
     towns = parsed.where("town is not null").groupBy("town").agg(F.sum("n").alias("n"))
     head, base = F.regexp_extract("town", r"^(.*) ", 1), F.regexp_extract("town", r"([^ ]*)$", 1)
     forms = towns.select("town", "n", head.alias("head"), base.alias("base"), F.explode(_slips(base)).alias("form"))
     a, b = (forms.select("head", "form", F.col("town").alias(f"town_{x}"), F.col("base").alias(f"base_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    meets = a.join(b, ["head", "form"]).where(F.col("n_b") >= 3 * F.col("n_a")).select("town_a", "town_b", "base_a", "base_b", "n_b").distinct()
+    meets = a.join(b, ["head", "form"]).where(F.struct("n_b", "town_b") > F.struct("n_a", "town_a")).select("town_a", "town_b", "base_a", "base_b", "n_b").distinct()
     near = meets.withColumn("d", _distance("base_a", "base_b")).where("d <= 2.0")
     up = near.groupBy("town_a").agg(F.max_by("town_b", F.struct(-F.col("d"), "n_b", "town_b")).alias("up")).select(F.col("town_a").alias("town"), "up")
-    roots = towns.join(up, "town", "left").select("town", F.coalesce("up", "town").alias("town_root"))
-    again = roots.select(F.col("town").alias("town_root"), F.col("town_root").alias("next"))
-    return roots.join(again, "town_root").select("town", F.col("next").alias("town_root"))
+    roots, moved = cut(towns.join(up, "town", "left").select("town", F.coalesce("up", "town").alias("town_root"))), True
+    while moved:  # each step doubles how far a pointer reaches
+        again = roots.select(F.col("town").alias("town_root"), F.col("town_root").alias("next"))
+        further = cut(roots.join(again, "town_root").select("town", F.col("next").alias("town_root"), (F.col("next") != F.col("town_root")).alias("moved")))
+        moved = not further.where("moved").isEmpty()
+        roots = further.drop("moved")
+    return roots
 
 
 def _street_roots(parsed: DataFrame) -> DataFrame:
@@ -249,7 +253,7 @@ def places(forms: DataFrame) -> DataFrame:
     read = read.join(named, "town", "left").join(saints, "saint", "left")
     is_saint = F.coalesce("saint_seen", F.lit(0)) > F.coalesce("seen", F.lit(0))
     read = cut(read.select("text", "n", "number", "street", "dir", F.when(~is_saint, F.col("type")).alias("type"), "unit", F.when(is_saint, F.col("saint")).otherwise(F.col("town")).alias("town"), "zip"))
-    towns = cut(_town_roots(read))
+    towns = _town_roots(read)
     located = read.join(towns, "town", "left").drop("town").withColumnRenamed("town_root", "town")
     # region level: the locality that most texts with this post code name
     counts = located.where("zip is not null and town is not null").groupBy("zip", "town").agg(F.sum("n").alias("n"))

@@ -55,3 +55,9 @@ def test_saint_or_street(make_forms):
     rows = ["148 Tolumfield Road, Saint Cranefold", "12 Oak Lane, St. Cranefold", "148 TOLUMFIELD ST. CRANEFOLD", "9 Elm St Ashford", "9 Elm Street, Ashford", "Mt. Otterburn Juniper Cottage, 1301 Brenevvale St.", "1301 Brenevvale Street, Mount Otterburn"]
     forms = make_forms(*({"form_id": i, A.ADDRESS: t} for i, t in enumerate(rows)))
     assert {(r.form_a, r.form_b) for r in A.found(forms).collect()} == {(0, 2), (3, 4), (5, 6)}
+
+
+def test_localities_of_similar_counts(make_forms):
+    texts = ["Otercross, 1110 Hurelridge Avenue", "1110 Hurelridge Av Ottercross, N.Y.", "1110 Hurelridge Avenue, Pinewold"]
+    forms = make_forms(*({"form_id": i, A.ADDRESS: t} for i, t in enumerate(texts)))
+    assert {(r.form_a, r.form_b) for r in A.found(forms).collect()} == {(0, 1)}
