@@ -180,7 +180,8 @@ _NUMBER = re.compile(r"\d+")
 
 def _mask(m: re.Match) -> str:
     d = m[0]
-    return d if d == "1" else ("0" if d[0] == "0" else "5") + "5" * (len(d) - 1)
+    country = d[0] == "1" and len(d) in (1, 4, 7, 8, 11)  # alone, or run together with the next parts of a phone number
+    return ("1" if country else "0" if d[0] == "0" else "5") + "5" * (len(d) - 1)
 
 
 #: Strength of a skip edge for equal types (log), and rounds of message passing.
@@ -197,7 +198,7 @@ class Tagger:
         self.agree = agree / agree.mean()
 
     def _score(self, sentence: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-        # features see the length of a number, a leading 0 and a lone 1, so sentences that differ in other digits are one
+        # features see the length of a number, a leading 0 and a 1 that may be a country code, so sentences that differ in other digits are one
         sentence = _NUMBER.sub(_mask, sentence)
         got = self.seen.get(sentence)
         if got is None:

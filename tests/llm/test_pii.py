@@ -79,3 +79,9 @@ def test_forms(make_forms):
     assert clean[1][pii.LIST] == [None, "walked on own; Signed: [PERSON_NAME].", "NA"]
     assert clean[2][other] == "Nothing to fix this time."
     assert pii.found(forms.where("1 = 0")).count() == 0
+
+
+@pytest.mark.parametrize("number", ["+15185550123", "15185550123", "1518-555-0123", "1518555-0123", "15550123", "1 518 555 0123", "518-555-0123", "0123456"])
+def test_masked_digits_keep_features(number):
+    text = f"call {number} now"
+    assert pii.features(pii._NUMBER.sub(pii._mask, text)) == pii.features(text)
