@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cpus: int | str = "*", partitions: int = 8, app: str = "drillmill") -> SparkSession:
@@ -30,18 +33,31 @@ def build_session(cpus: int | str = "*", partitions: int = 8, app: str = "drillm
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one of our own, in local mode only."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = named or tempfile.mkdtemp(prefix="drillmill-checkpoint-")
-    sc.setCheckpointDir(folder)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or _own_folder())
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="drillmill-checkpoint-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and continues from the files, so a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, computed and written once; marked for a broadcast if it has at most so many rows, else left for a shuffle."""
+    once = cut(df)
+    return F.broadcast(once) if once.limit(rows + 1).count() <= rows else once
