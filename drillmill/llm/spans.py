@@ -1,24 +1,27 @@
 """Long exact spans shared between records (problem 9): seed and extend.
 
 Seeds: of every window of w = min_chars - k + 1 consecutive k-grams the one with the smallest hash is kept (winnowing), so
-any run of min_chars characters that two texts share holds at least one common seed. Only seeds whose hash occurs in two
-different texts go on. They are joined, and each pair of texts is extended from every diagonal on which it has a seed, both
-ways and character by character, so hashes decide nothing. Maximal runs of min_chars or more are kept.
+any run of min_chars characters that two texts share holds a seed that both have at that place. Equal seeds that overlap each
+other (a stretch that repeats a short period) are one entry with first place, step and count. Seeds that two texts share are
+joined; at the first shared seed of a run the texts are extended both ways, character by character, and a run of min_chars
+or more makes a link. Of entries with a step every alignment is tried that differs in what surrounds it.
 
-Scale: equal texts are one text until the end, so groups of copies cost nothing; seeds are counted before they are joined,
-with partial aggregation; a seed that very many texts share is a run they all share, and its pairs are the result asked for.
-Only such a seed's rows are spread over salted parts, as many as its count asks for, so that no task holds the whole group. Seeds of one diagonal that follow each other
-become one row before any text is fetched. A stretch that repeats a short period sends its first and last seeds and their
-step; from these all its diagonals follow without a row for each. Lineage is cut through the shared checkpoint folder.
+`found` extends each run once: where two seeds agree with the seeds before them, the run was met there. `shared_report` goes
+through no pairs at all: every stretch of min_chars belongs to the leftmost smallest seed in it, a seed with all stretches that
+belong to it is a class of equal strings, and a stretch is shared if its class, or a class with an equal stretch, stands in
+another text.
+
+Scale: equal texts are one text until the end. Seeds, not texts, are shuffled: counted with partial aggregation, of which
+the shared ones go on. Texts are read again for the windows around the seeds that need them; what is joined to them, and the list
+of shared seeds, is broadcast behind a check of its size and shuffled beyond it. A seed, or a class of copies, that very many
+texts share is spread over as many salted parts as its count asks for. Lineage is cut through the shared checkpoint folder.
 
 Defined results: characters are code points, as stored; NULL, empty and short texts share nothing; a run within one text
-counts only against other texts; repeated doc_ids with the same text count once; extra columns are ignored. Where both texts
-repeat one short period, the run of every diagonal counts.
+counts only against other texts; repeated doc_ids with the same text count once; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +29,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drillmill.session import cut
+from drillmill.session import bounded, cut
 
 MIN_CHARS = 200
-#: A seed that more texts share than this is spread over as many parts as it takes.
+#: A seed or a text that more records share than this is spread over as many parts as it takes.
 PER_SALT = 500
+#: Rows of two or three numbers that may be broadcast (under 10 MB).
+BROADCAST_ROWS = 300_000
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
-
+_TOP = np.iinfo(np.uint64).max
 
 #: Characters hashed in one go, and the powers that this takes, made once per worker.
 BLOCK = 1_000_000
@@ -64,14 +69,21 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of each k-gram, from prefix sums of a polynomial (wrapping arithmetic)."""
-    n = len(codes)
-    if n < k:
-        return np.empty(0, np.uint64)
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(codes.astype(np.uint64) + np.uint64(1)) * _power(_B, n))))
-        return _mix((sums[k:] - sums[:-k]) * _power(_INV, n - k + 1))
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(codes.astype(np.uint64) + np.uint64(1)) * _power(_B, len(codes)))))
+
+
+def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches [start, end), from prefix sums of a polynomial (wrapping arithmetic)."""
+    with np.errstate(over="ignore"):
+        return _mix((sums[end] - sums[start]) * _power(_INV, len(sums))[start] + (end - start).astype(np.uint64))
+
+
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    n = len(codes) - k + 1
+    at = np.arange(max(n, 0))
+    return range_hashes(prefix_sums(codes), at, at + k) if n > 0 else np.empty(0, np.uint64)
 
 
 def _sliding(values: np.ndarray, w: int, of: np.ufunc, fill: int) -> np.ndarray:
@@ -92,7 +104,7 @@ def winnow(hashes: np.ndarray, w: int, last: np.ndarray | None = None) -> np.nda
     if n == 0:
         return np.empty(0, np.int64)
     w = min(w, n)
-    low = _sliding(hashes, w, np.minimum, np.iinfo(np.uint64).max)
+    low = _sliding(hashes, w, np.minimum, _TOP)
     if last is not None:
         low[np.arange(n - w + 1) + w - 1 > last[: n - w + 1]] = 0
     # a window's minimum is at most each of its hashes, so a position is chosen if the largest minimum around it equals it
@@ -100,42 +112,91 @@ def winnow(hashes: np.ndarray, w: int, last: np.ndarray | None = None) -> np.nda
     return np.flatnonzero(_sliding(np.concatenate((edge, low, edge)), w, np.maximum, 0) == hashes)
 
 
-def thin_periods(owner: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mask, step): the mask leaves out the inner ones of equal seeds that follow each other at one step under k (a stretch
-    that repeats a period); step is that of a seed next to one left out, else 0. What is left out `periodic_runs` makes good.
-    """
-    keep = np.ones(len(at), bool)
-    steps = np.zeros(len(at), np.int64)
-    if len(at) > 2:
+class Block:
+    """Some texts, one after the other: hashes of their k-grams, each with its text, and the seeds."""
+
+    def __init__(self, texts: list[str], k: int, w: int):
+        self.k, self.w = k, w
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        self.starts = ends - sizes
+        codes = _code_points("".join(texts))
+        self.sums = prefix_sums(codes)
+        self.owner = np.repeat(np.arange(len(texts)), sizes)[: max(0, len(codes) - k + 1)]
+        places = np.arange(len(self.owner))
+        self.last = (ends - k)[self.owner]
+        self.hashes = np.where(places <= self.last, range_hashes(self.sums, places, np.minimum(places + k, len(codes))), _TOP)
+        at = winnow(self.hashes, w, self.last)
+        self.at = at[at <= self.last[at]]  # in the joined text
+
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the text, hash, place in it)."""
+        owner = self.owner[self.at]
+        return owner, self.hashes[self.at], self.at - self.starts[owner]
+
+    def entries(self) -> tuple[np.ndarray, ...]:
+        """(index of the text, hash, first place, step, count, link): seeds, those that overlap at one step as one entry.
+
+        link tells the seed before, and how far before; 0, which agrees with none, for a seed without one and for several places.
+        """
+        owner, h, at = self.seeds()
+        before = np.zeros(len(at), np.uint64)
+        near = np.zeros(len(at), bool)
+        near[1:] = (owner[1:] == owner[:-1]) & (at[1:] - at[:-1] <= self.k)
+        with np.errstate(over="ignore"):
+            before[1:] = _mix(h[:-1] * np.uint64(3) + (at[1:] - at[:-1]).astype(np.uint64))
         order = np.lexsort((at, h, owner))
-        same = (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-        step = np.where(same, at[order][1:] - at[order][:-1], -1)
-        inner = (step[1:] == step[:-1]) & (step[1:] > 0) & (step[1:] < k)
-        keep[order[1:-1][inner]] = False
-        # where one stretch ends and the next starts, the first one's step stays; the next has its own last seed
-        steps[order[:-2][inner]] = step[1:][inner]
-        steps[order[2:][inner]] = step[1:][inner]
-    return keep, steps
-
-
-def block_seeds(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the text, hash, position) of the seeds of texts that hold k + w - 1 characters or more."""
-    return stepped_seeds(texts, k, w)[:3]
-
-
-def stepped_seeds(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same with the step of the stretch that a seed starts or ends, else 0."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes)
-    hashes = gram_hashes(_code_points("".join(texts)), k)
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(hashes)]
-    last = (ends - k)[owner]
-    places = np.arange(len(hashes))
-    at = winnow(np.where(places <= last, hashes, np.iinfo(np.uint64).max), w, last)
-    at = at[at <= last[at]]
-    owner, h, at = owner[at], hashes[at], at - (ends - sizes)[owner[at]]
-    keep, step = thin_periods(owner, h, at, k)
-    return owner[keep], h[keep], at[keep], step[keep]
+        o, g, a = owner[order], h[order], at[order]
+        gap = np.where((g[1:] == g[:-1]) & (o[1:] == o[:-1]), a[1:] - a[:-1], 0)
+        first, step, count = repeats(np.where(gap < self.k, gap, 0))
+        rows = order[first]
+        single = near[rows] & (count == 1)
+        link = np.where(single, before[rows] | np.uint64(1), np.uint64(0))
+        return owner[rows], h[rows], at[rows], step, count, link
+
+    def classes(self, min_chars: int) -> tuple[np.ndarray, ...]:
+        """(index of the text, seed, class, lo, hi, step, count): the stretches of min_chars that start at lo to hi belong to the
+        seed; class is the hash of all of them together. Equal classes of one text at one step are one row."""
+        n = len(self.hashes) - self.w + 1
+        x = np.arange(max(n, 0))
+        x = x[x + self.w - 1 <= self.last[x]] if n > 0 else x
+        if not len(x):
+            none = np.empty(0, np.int64)
+            return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
+        low = _sliding(self.hashes, self.w, np.minimum, _TOP)[x]
+        i = np.searchsorted(self.at, x)
+        seed_hash = self.hashes[self.at]
+        while (wrong := np.flatnonzero(seed_hash[i] != low)).size:  # the first seed of the window that is its minimum
+            i[wrong] += 1
+        new = np.concatenate(([True], (i[1:] != i[:-1]) | (x[1:] != x[:-1] + 1)))
+        cut_at = np.flatnonzero(new)
+        lo, hi = x[cut_at], x[np.concatenate((cut_at[1:] - 1, [len(x) - 1]))]
+        h = seed_hash[i[cut_at]]
+        c = range_hashes(self.sums, lo, hi + min_chars)
+        owner = self.owner[lo]
+        order = np.lexsort((lo, c, h, owner))
+        o, g, d, a = owner[order], h[order], c[order], lo[order]
+        gap = np.where((g[1:] == g[:-1]) & (o[1:] == o[:-1]) & (d[1:] == d[:-1]), a[1:] - a[:-1], 0)
+        first, step, count = repeats(np.where(gap <= min_chars, gap, 0))
+        rows = order[first]
+        return owner[rows], h[rows], c[rows], lo[rows] - self.starts[owner[rows]], hi[rows] - self.starts[owner[rows]], step, count
+
+
+def repeats(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, step, count) of the stretches of equal gaps above 0 in a sorted list; what has no such gap is a stretch of one.
+
+    Where one stretch ends another may start at the same element.
+    """
+    run = np.concatenate(([True], gap[1:] != gap[:-1])) if len(gap) else np.empty(0, bool)
+    start = np.flatnonzero(run & (gap > 0))
+    end = np.flatnonzero(np.concatenate((run[1:], [True])) & (gap > 0)) if len(gap) else start
+    alone = np.ones(len(gap) + 1, bool)
+    alone[:-1] &= gap == 0
+    alone[1:] &= gap == 0
+    first = np.concatenate((start, np.flatnonzero(alone)))
+    step = np.concatenate((gap[start], np.zeros(alone.sum(), np.int64)))
+    count = np.concatenate((end - start + 2, np.ones(alone.sum(), np.int64)))
+    return first, step, count
 
 
 def _pieces(reps: np.ndarray, texts: list[str], overlap: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
@@ -156,178 +217,185 @@ def _pieces(reps: np.ndarray, texts: list[str], overlap: int) -> Iterator[tuple[
         yield ids, offsets, parts
 
 
-def _seeds(k: int, w: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ids, offsets, parts in _pieces(batch["rep"].to_numpy(), batch["text"].tolist(), k + w - 2):
-                owner, h, at, step = stepped_seeds(parts, k, w)
-                yield pd.DataFrame({"rep": np.array(ids, np.int64)[owner], "h": h.view(np.int64), "at": (at + np.array(offsets, np.int64)[owner]).astype("int32"), "step": step.astype("int32")})
-
-    return run
+def _blocks(batches: Iterator[pd.DataFrame], k: int, w: int) -> Iterator[tuple[np.ndarray, np.ndarray, Block]]:
+    for batch in batches:
+        for ids, offsets, parts in _pieces(batch["rep"].to_numpy(), batch["text"].tolist(), k + w - 2):
+            yield np.array(ids, np.int64), np.array(offsets, np.int64), Block(parts, k, w)
 
 
-def common_run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """(start in a, length) of the maximal run on the diagonal of (i, j); length 0 if a[i] != b[j]."""
-    d = j - i
-    lo, hi = max(0, -d), min(len(a), len(b) - d)
-    different = np.flatnonzero(a[lo:hi] != b[lo + d : hi + d]) + lo
-    k = np.searchsorted(different, i)
-    start = int(different[k - 1]) + 1 if k > 0 else lo
-    end = int(different[k]) if k < len(different) else hi
-    return start, max(0, end - start)
+def _entries(k: int, w: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, offsets, block in _blocks(batches, k, w):
+            owner, h, at, step, count, link = block.entries()
+            yield pd.DataFrame({"rep": ids[owner], "h": h.view(np.int64), "at": (at + offsets[owner]).astype("int32"), "step": step.astype("int32"), "cnt": count.astype("int32"), "link": link.view(np.int64)})
 
+    return run
 
-def _stretch(x: np.ndarray, i: int, step: int) -> tuple[int, int]:
-    """(start, end) of the longest stretch around i that repeats with this step."""
-    breaks = np.flatnonzero(x[:-step] != x[step:])
-    k = np.searchsorted(breaks, i)
-    return int(breaks[k - 1]) + 1 if k > 0 else 0, int(breaks[k]) + step if k < len(breaks) else len(x)
 
+def _classes(k: int, w: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, offsets, block in _blocks(batches, k, w):
+            owner, h, c, lo, hi, step, count = block.classes(k + w - 1)
+            more = offsets[owner]
+            yield pd.DataFrame({"rep": ids[owner], "h": h.view(np.int64), "c": c.view(np.int64), "lo": (lo + more).astype("int32"), "hi": (hi + more).astype("int32"), "step": step.astype("int32"), "cnt": count.astype("int32")})
 
-def periodic_runs(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int, int, int]], k: int, min_chars: int) -> np.ndarray:
-    """Rows (start in a, start in b, length) of the maximal runs of min_chars or more on all diagonals of stretches of one period.
+    return run
 
-    places: (seed in a, seed in b, step in a, step in b), of which one step at least isn't 0. Both stretches reach as far as
-    the period does, so on each diagonal they share just what they overlap; only where both start or both end together the run
-    may go on beyond them and is compared character by character.
-    """
-    out, done = [np.empty((0, 3), np.int64)], []
-
-    def single(i: int, j: int) -> None:
-        start, n = common_run(a, b, i, j)
-        if n >= min_chars:
-            out.append(np.array([[start, start + j - i, n]]))
-
-    for i, j, step_a, step_b in places:
-        if any(a0 <= i and i + k <= a1 and b0 <= j and j + k <= b1 and (j - i - d) % s == 0 for a0, a1, b0, b1, s, d in done):
-            continue
-        gram = a[i : i + k]
-        if not np.array_equal(gram, b[j : j + k]):
-            continue
-        s = math.gcd(step_a, step_b)
-        if not np.array_equal(gram[s:], gram[:-s]):  # two long steps without a period in common: seed by seed
-            (a0, a1), (b0, b1) = _stretch(a, i, step_a), _stretch(b, j, step_b)
-            for x in range(a0 + (i - a0) % step_a, a1 - k + 1, step_a):
-                for y in range(b0 + (j - b0) % step_b, b1 - k + 1, step_b):
-                    single(x, y)
-            continue
-        (a0, a1), (b0, b1) = _stretch(a, i, s), _stretch(b, j, s)
-        done.append((a0, a1, b0, b1, s, j - i))
-        if min(a1 - a0, b1 - b0) >= min_chars:
-            low = b0 - a1 + min_chars
-            d = np.arange(low + (j - i - low) % s, b1 - a0 - min_chars + 1, s)
-            d = d[(d != b0 - a0) & (d != b1 - a1)]
-            start = np.maximum(a0, b0 - d)
-            out.append(np.stack((start, start + d, np.minimum(a1, b1 - d) - start), axis=1))
-        for d in {b0 - a0, b1 - a1}:
-            if (j - i - d) % s == 0:
-                single(max(a0, b0 - d), max(a0, b0 - d) + d)
-    return np.unique(np.concatenate(out), axis=0)
-
-
-def _extend(k: int, min_chars: int, one: bool):
-    def pair(a: np.ndarray, b: np.ndarray, diagonals) -> np.ndarray:
-        found, periodic = [], []
-        for g in diagonals:
-            d, done = g["d"], -1
-            periodic += [(p["at_a"], p["at_a"] + d, p["step_a"], p["step_b"]) for p in g["periodic"]]
-            for i in np.unique(np.asarray(g["places"])):
-                if i < done:
-                    continue
-                start, n = common_run(a, b, int(i), int(i) + d)
-                done = start + n
-                if n >= min_chars:
-                    found.append((start, start + d, n))
-                    if one:
-                        return np.array(found)
-        runs = np.array(found, np.int64).reshape(-1, 3)
-        if periodic:
-            runs = np.unique(np.concatenate((runs, periodic_runs(a, b, periodic, k, min_chars))), axis=0)
-        return runs[:1] if one else runs
-
-    def frame(out: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
-        sizes = [len(runs) for _, _, runs in out]
-        runs = np.concatenate([np.empty((0, 3), np.int64), *(runs for _, _, runs in out)])
-        ids = {name: np.repeat(np.array([o[at] for o in out], np.int64), sizes) for at, name in enumerate(("ra", "rb"))}
-        return pd.DataFrame(ids | {name: runs[:, at].astype("int32") for at, name in enumerate(("start_a", "start_b", "n"))})
 
+def _common(a: str, b: str) -> int:
+    """Number of characters that both start with."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n  # a[:lo] == b[:lo], a[:hi] != b[:hi]
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def _run_through(a: str, i: int, b: str, j: int, k: int) -> int:
+    """Length of the run of both texts around the seeds at i and j; 0 if they differ."""
+    if a[i : i + k] != b[j : j + k]:
+        return 0
+    return _common(a[:i][::-1], b[:j][::-1]) + k + _common(a[i + k :], b[j + k :])
+
+
+def aligned(a: str, i: int, step_a: int, count_a: int, b: str, j: int, step_b: int, count_b: int, k: int, min_chars: int) -> bool:
+    """Whether some place of one entry and some place of the other lie in a run of min_chars."""
+    if count_a == count_b == 1:
+        return _run_through(a, i, b, j, k) >= min_chars
+    if step_a == step_b and min(count_a, count_b) > 1:
+        if min(count_a, count_b) * step_a - step_a + k >= min_chars and a[i : i + k] == b[j : j + k]:
+            return True  # one stretch of the period lies in the other
+        places = [(x, 0) for x in range(count_a)] + [(0, y) for y in range(1, count_b)]  # one for each alignment
+    else:
+        places = [(x, y) for x in range(count_a) for y in range(count_b)]
+    return any(_run_through(a, i + x * step_a, b, j + y * step_b, k) >= min_chars for x, y in places)
+
+
+def _verify(k: int, min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, size = [], 0
-            codes: dict[int, np.ndarray] = {}
-            for ra, rb, ta, tb, diagonals in zip(batch["ra"], batch["rb"], batch["ta"], batch["tb"], batch["diagonals"], strict=True):
-                if ra not in codes:
-                    if len(codes) > 256:
-                        codes.clear()
-                    codes[ra] = _code_points(ta)
-                runs = pair(codes[ra], _code_points(tb), diagonals)
-                if len(runs):
-                    out.append((ra, rb, runs))
-                    size += len(runs)
-                if size >= BLOCK:
-                    yield frame(out)
-                    out, size = [], 0
-            yield frame(out)
+            columns = (batch[c].tolist() for c in ("text_a", "off_a", "step_a", "kept_a", "text_b", "off_b", "step_b", "kept_b"))
+            hit = np.fromiter((aligned(*row, k, min_chars) for row in zip(*columns, strict=True)), bool, len(batch))
+            yield batch.loc[hit, ["ra", "rb"]]
 
     return run
 
 
 def text_classes(documents: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, rep; texts: rep, text) of the texts that are long enough; rep is the smallest doc_id of a text."""
-    long = documents.where(F.length("text") >= min_chars).select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    keyed = long.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.md5("text").alias("k2"))
-    reps = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    joined = keyed.join(reps, ["k1", "k2"])
-    members = cut(joined.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("text")).alias("text")).dropDuplicates(["doc_id", "rep"]))
-    return members.select("doc_id", "rep"), members.where(F.col("text").isNotNull()).select("rep", "text")
+    """(members: doc_id, rep; texts: rep, text) of the texts that are long enough; rep is the smallest doc_id of a text.
 
+    Only hashes are compared; texts stay where they are, but for the copies, which are left out by their ids.
+    """
+    long = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select("doc_id", "text")
+    keyed = long.select("doc_id", F.xxhash64("text").alias("k1"), F.md5("text").alias("k2"))
+    reps = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    members = cut(keyed.join(reps, ["k1", "k2"]).select("doc_id", "rep").distinct())
+    copies = bounded(members.where("doc_id <> rep").select("doc_id"), BROADCAST_ROWS)
+    return members, long.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "text")
 
-def shared_spans(texts: DataFrame, min_chars: int = MIN_CHARS, k: int | None = None, one: bool = False) -> DataFrame:
-    """ra, rb, start_a, start_b, n: maximal runs of at least min_chars code points that two different texts share, ra < rb.
 
-    one: only some one run of each two texts.
-    """
-    k = k or max(1, min_chars * 3 // 5)  # long seeds hardly meet by chance; the rest of min_chars is the winnowing window
+def _k(min_chars: int, k: int | None) -> int:
+    k = k or max(1, min_chars // 2)  # long seeds hardly meet by chance; the rest of min_chars is the winnowing window
     if not 0 < k <= min_chars:
         raise ValueError("a seed has at most min_chars characters")
-    seeds = cut(texts.mapInPandas(_seeds(k, min_chars - k + 1), "rep long, h long, at int, step int"))
-    counts = seeds.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"))
-    often = counts.where(F.col("lo") < F.col("hi")).select("h", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
-    common = seeds.join(often, "h")
-    left = common.select("h", F.col("rep").alias("ra"), F.col("at").alias("at_a"), F.col("step").alias("step_a"), F.pmod(F.xxhash64("rep", "at"), F.col("salts")).cast("int").alias("salt"))
-    right = common.select("h", F.col("rep").alias("rb"), F.col("at").alias("at_b"), F.col("step").alias("step_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = left.join(right, ["h", "salt"]).where(F.col("ra") < F.col("rb"))
-    # a seed whose neighbour on the diagonal lies less than a seed away belongs to the same stretch; one row per stretch of
-    # at most k places keeps the lists short. Seeds that stand for a whole period stay as they are, in cells below 0
-    steps = F.col("step_a") + F.col("step_b") > 0
-    cell = F.when(steps, -1 - F.col("at_a")).otherwise(F.floor(F.col("at_a") / k))
-    stretch = pairs.select("ra", "rb", (F.col("at_b") - F.col("at_a")).alias("d"), "at_a", "step_a", "step_b", cell.alias("cell"))
-    places = stretch.groupBy("ra", "rb", "d", "cell", "step_a", "step_b").agg(F.min("at_a").alias("at_a"))
-    lists = F.collect_list(F.when(~steps, F.col("at_a"))).alias("places"), F.collect_list(F.when(steps, F.struct("at_a", "step_a", "step_b"))).alias("periodic")
-    diagonals = places.groupBy("ra", "rb", "d").agg(*lists).groupBy("ra", "rb").agg(F.collect_list(F.struct("d", "places", "periodic")).alias("diagonals"))
-    a = texts.select(F.col("rep").alias("ra"), F.col("text").alias("ta"))
-    b = texts.select(F.col("rep").alias("rb"), F.col("text").alias("tb"))
-    with_text = diagonals.join(a, "ra").join(b, "rb")
-    return with_text.mapInPandas(_extend(k, min_chars, one), "ra long, rb long, start_a int, start_b int, n int")
+    return k
+
+
+def _in_several(rows: DataFrame) -> DataFrame:
+    """Rows whose seed isn't alone, with the parts that their seed is spread over."""
+    counts = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    often = counts.select("h", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
+    return cut(rows.join(bounded(often, BROADCAST_ROWS), "h"))
+
+
+def linked_texts(texts: DataFrame, min_chars: int = MIN_CHARS, k: int | None = None) -> DataFrame:
+    """ra, rb: two different texts that share a run of at least min_chars code points, ra < rb."""
+    k = _k(min_chars, k)
+    margin = min_chars - k
+    common = _in_several(cut(texts.mapInPandas(_entries(k, margin + 1), "rep long, h long, at int, step int, cnt int, link long")))
+    # where all seeds of a hash follow the same seed, every run was met before
+    started = common.groupBy("h").agg(F.min("link").alias("l0"), F.max("link").alias("l1")).where("l0 <> l1 OR l0 = 0").select("h")
+    common = common.join(bounded(started, BROADCAST_ROWS), "h", "left_semi")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("at", "step", "cnt", "link")]
+    left = common.select("h", F.col("rep").alias("ra"), *side("a"), F.pmod(F.xxhash64("rep", "at"), F.col("salts")).cast("int").alias("salt"))
+    right = common.select("h", F.col("rep").alias("rb"), *side("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    first = (F.col("link_a") != F.col("link_b")) | (F.col("link_a") == 0)
+    pairs = cut(left.join(right, ["h", "salt"]).where((F.col("ra") < F.col("rb")) & first).select("ra", "at_a", "step_a", "cnt_a", "rb", "at_b", "step_b", "cnt_b").distinct())
+    ends = [pairs.select(*(F.col(f"{c}{x}").alias(c.strip("_")) for c in ("r", "at_", "step_", "cnt_"))) for x in "ab"]
+    needed = ends[0].union(ends[1]).distinct().withColumnRenamed("r", "rep")
+    windows = texts.join(bounded(needed, BROADCAST_ROWS), "rep").select("rep", "at", "step", "cnt", *_window(k, margin))
+    with_text = pairs
+    for x in "ab":
+        end = windows.select(F.col("rep").alias(f"r{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("at", "step", "cnt", "off", "kept", "text")))
+        with_text = with_text.join(end, [f"r{x}", f"at_{x}", f"step_{x}", f"cnt_{x}"])
+    return with_text.mapInPandas(_verify(k, min_chars), "ra long, rb long").distinct()
+
+
+def _window(k: int, margin: int) -> list:
+    """off, kept, text: what surrounds an entry; off is where it starts in that. Of a stretch of very many steps the inner ones
+    are left out: those kept have all surroundings that places of it can have."""
+    most = (F.floor(F.lit(margin) / F.greatest("step", F.lit(1))) + 2) * 2
+    kept = F.least("cnt", most).cast("int")
+    off = F.least("at", F.lit(margin))
+    half = (kept / 2).cast("int")
+    head = F.substr("text", F.col("at") - off + 1, off + half * F.col("step"))
+    tail = F.substr("text", F.col("at") + (half + F.col("cnt") - kept) * F.col("step") + 1, (kept - half - 1) * F.col("step") + k + margin)
+    return [off.alias("off"), kept.alias("kept"), F.concat(head, tail).alias("text")]
 
 
 def found(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_a, doc_b: documents whose texts share a run of at least min_chars code points."""
     members, texts = text_classes(documents, min_chars)
-    pairs = shared_spans(texts, min_chars, one=True).select("ra", "rb")
-    a, b = members.select(F.col("doc_id").alias("x"), F.col("rep").alias("ra")), members.select(F.col("doc_id").alias("y"), F.col("rep").alias("rb"))
-    between = pairs.join(a, "ra").join(b, "rb").select("x", "y")
-    copies = a.select("x", F.col("ra").alias("rep")).join(b.select("y", F.col("rb").alias("rep")), "rep").where(F.col("x") < F.col("y")).select("x", "y")
-    return between.unionByName(copies).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+    salts = cut(sizes.select("rep", "n", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
+    copies = salts.where("n > 1").select(F.col("rep").alias("ra"), F.col("rep").alias("rb"))
+    pairs = linked_texts(texts, min_chars).unionByName(copies)
+    placed = members.join(salts, "rep").select("doc_id", "rep", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
+    for x in "ab":  # the members of a text with very many copies come in parts
+        parts = salts.select(F.col("rep").alias(f"r{x}"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias(f"s{x}"))
+        pairs = pairs.join(parts, f"r{x}")
+    for x in "ab":
+        pairs = pairs.join(placed.select(F.col("doc_id").alias(f"d{x}"), F.col("rep").alias(f"r{x}"), F.col("salt").alias(f"s{x}")), [f"r{x}", f"s{x}"])
+    once = pairs.where("ra <> rb OR da < db")
+    return once.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"))
+
+
+def shared_stretches(texts: DataFrame, min_chars: int = MIN_CHARS, k: int | None = None) -> DataFrame:
+    """rep, s, e: stretches [s, e) of a text that stand in other texts as well, each run of min_chars in one of them."""
+    k = _k(min_chars, k)
+    rows = cut(texts.mapInPandas(_classes(k, min_chars - k + 1), "rep long, h long, c long, lo int, hi int, step int, cnt int"))
+    common = _in_several(rows)
+    at_first = [F.min("rep").alias("r0"), F.max("rep").alias("r1"), F.min_by("lo", "rep").alias("lo"), F.min_by("hi", "rep").alias("hi")]
+    classes = cut(common.groupBy("h", "c").agg(*at_first))
+    whole = classes.where("r0 <> r1").select("h", "c", F.lit(0).alias("t0"), (F.col("hi") - F.col("lo")).alias("t1"))
+    # a class of one text may share some of its stretches with other classes of its seed
+    split = classes.groupBy("h").agg(F.count("*").alias("n"), F.min("r0").alias("m0"), F.max("r1").alias("m1"), F.max(F.col("r0") == F.col("r1")).alias("open")).where("n > 1 AND m0 <> m1 AND open").select("h")
+    asked = classes.join(split, "h", "left_semi").select(F.col("r0").alias("rep"), "r1", "h", "c", "lo", "hi")
+    inside = F.substr("text", F.col("lo") + 1, F.col("hi") - F.col("lo") + min_chars)
+    grams = F.transform(F.array(inside), lambda x: F.transform(F.sequence(F.lit(0), F.col("hi") - F.col("lo")), lambda t: F.struct(t.alias("t"), F.xxhash64(F.substr(x, t + 1, F.lit(min_chars))).alias("g"))))
+    each = texts.join(bounded(asked, BROADCAST_ROWS), "rep").select("rep", "r1", "h", "c", F.explode(F.element_at(grams, 1)).alias("x"))
+    each = cut(each.select("rep", "r1", "h", "c", "x.t", "x.g"))
+    twice = each.groupBy("h", "g").agg(F.min("rep").alias("m0"), F.max("r1").alias("m1")).where("m0 <> m1").select("h", "g")
+    hits = each.where("rep = r1").join(twice, ["h", "g"], "left_semi")
+    # starts that follow each other are one stretch; a class has at most as many as the winnowing window
+    start = F.array().cast("array<struct<t0:int,t1:int>>")
+    fold = F.aggregate(F.sort_array("ts"), start, lambda acc, t: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["t1"] == t - 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["t0"].alias("t0"), t.alias("t1"))))).otherwise(F.concat(acc, F.array(F.struct(t.alias("t0"), t.alias("t1"))))))
+    parts = hits.groupBy("h", "c").agg(F.collect_set("t").alias("ts")).select("h", "c", F.explode(fold).alias("x")).select("h", "c", "x.t0", "x.t1")
+    told = whole.unionByName(parts)
+    return common.join(told, ["h", "c"]).select("rep", (F.col("lo") + F.col("t0")).alias("s"), (F.col("lo") + F.col("t1") + (F.col("cnt") - 1) * F.col("step") + min_chars).alias("e"))
 
 
 def shared_report(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_chars, shared_chars, shared_share, copies: how much of each document stands in other documents."""
     members, texts = text_classes(documents, min_chars)
-    spans = shared_spans(texts, min_chars)
-    sides = spans.select(F.col("ra").alias("rep"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("n")).alias("e")).unionByName(spans.select(F.col("rb").alias("rep"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("n")).alias("e")))
     # union of intervals: per start only the farthest end matters, which bounds a text's rows by its length
-    longest = sides.groupBy("rep", "s").agg(F.max("e").alias("e"))
+    longest = shared_stretches(texts, min_chars).groupBy("rep", "s").agg(F.max("e").alias("e"))
     intervals = F.array_sort(F.collect_list(F.struct("s", "e")))
     start = F.struct(F.lit(0).alias("covered"), F.lit(-1).alias("end"))
     fold = F.aggregate(F.col("i"), start, lambda acc, x: F.struct((acc["covered"] + F.greatest(x["e"] - F.greatest(x["s"], acc["end"]), F.lit(0))).alias("covered"), F.greatest(acc["end"], x["e"]).alias("end")))

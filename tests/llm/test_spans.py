@@ -83,12 +83,22 @@ def test_winnow_covers_every_window():
 def test_blocks_are_like_single_texts():
     rnd = random.Random(5)
     texts = ["".join(rnd.choice("abc é") for _ in range(rnd.randint(60, 300))) for _ in range(30)] + ["x" * 200, "ab" * 80]
-    owner, h, at = spans.block_seeds(texts, 40, 21)
-    for i, t in enumerate(texts):
-        _, h1, at1 = spans.block_seeds([t], 40, 21)
-        assert at[owner == i].tolist() == at1.tolist()
-        assert h[owner == i].tolist() == h1.tolist()
-    assert len(at[owner == 30]) == 2
+    for of in (lambda b: b.seeds(), lambda b: b.entries(), lambda b: b.classes(60)):
+        together = of(spans.Block(texts, 40, 21))
+        for i, t in enumerate(texts):
+            alone = of(spans.Block([t], 40, 21))
+            rows = lambda parts, owner: sorted(zip(*(p[owner].tolist() for p in parts[1:]), strict=True))
+            assert rows(together, together[0] == i) == rows(alone, alone[0] == 0)
+    owner, _, at, step, count, _ = spans.Block(texts, 40, 21).entries()
+    assert [(int(a), int(s), int(c)) for a, s, c in zip(at[owner == 30], step[owner == 30], count[owner == 30], strict=True)] == [(0, 1, 161)]
+
+
+def test_classes_hold_every_stretch_once():
+    rnd = random.Random(6)
+    for text in ["".join(rnd.choice("ab") for _ in range(300)), "ab" * 100, "x" * 150, "abc" * 20]:
+        _, _, _, lo, hi, step, count = spans.Block([text], 12, 19).classes(30)
+        starts = [x + j * s for a, b, s, c in zip(lo, hi, step, count, strict=True) for j in range(c) for x in range(a, b + 1)]
+        assert set(starts) == set(range(len(text) - 29))
 
 
 def test_long_texts_come_in_pieces(spark, monkeypatch):
@@ -103,21 +113,6 @@ def test_long_texts_come_in_pieces(spark, monkeypatch):
     assert {s // 1 for s in range(9000 - 199)} <= {s for i, o, t in pieces if i == 1 for s in range(o, o + len(t) - 198)}
 
 
-def all_runs(a, b, n):
-    """Maximal runs of n characters or more, diagonal by diagonal."""
-    out = set()
-    for d in range(n - len(a), len(b) - n + 1):
-        start = None
-        for i in range(max(0, -d), min(len(a), len(b) - d) + 1):
-            if i < min(len(a), len(b) - d) and a[i] == b[i + d]:
-                start = i if start is None else start
-            elif start is not None:
-                if i - start >= n:
-                    out.add((start, start + d, i - start))
-                start = None
-    return out
-
-
 def shifted_periods(seed, count, periods, sizes):
     rnd = random.Random(seed)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(p)) for p in periods]
@@ -140,20 +135,48 @@ def test_shifted_periods(spark, seed):
     assert set(got) == brute(rows, 200)
 
 
-def test_runs_of_shifted_periods(spark):
-    rows = shifted_periods(3, 12, (1, 5, 30, 60, 100), (195, 400))
-    word = "".join(chr(97 + (i * i) % 26) for i in range(47))
-    rows += [(20, "s" + (word * 9)[11:300] + "e"), (21, (word * 9)[30:235] + "tail" * 5 + (word * 9)[3:210]), (22, "x" * 1000), (23, "y" + "x" * 330)]
-    texts = spark.createDataFrame(rows, "rep long, text string")
-    got = [tuple(r) for r in spans.shared_spans(texts).collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == {(i, j, *run) for i, a in rows for j, b in rows if i < j for run in all_runs(a, b, 200)}
+@pytest.mark.parametrize("seed", [5, 6])
+def test_random_periods(spark, seed):
+    rows = shifted_periods(seed, 150, (20, 67, 80, 99, 100, 101, 118), (195, 420))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_a, r.doc_b) for r in spans.found(docs).collect()} == brute(rows, 200)
+
+
+def covered(rows, n):
+    """Characters of each text that lie in a stretch of n that another, different text has."""
+    grams = defaultdict(set)
+    for _, t in rows:
+        for x in range(len(t) - n + 1):
+            grams[t[x : x + n]].add(t)
+    return {i: len({x + y for x in range(len(t) - n + 1) if len(grams[t[x : x + n]]) > 1 for y in range(n)}) for i, t in rows}
+
+
+@pytest.mark.parametrize("seed", [1, 7])
+def test_report_against_brute_force(spark, seed):
+    rows = [r for r in texts(seed) if r[1]][:-3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.shared_chars for r in spans.shared_report(docs, 60).collect()} == covered(rows, 60)
+    rows = shifted_periods(seed, 60, (1, 30, 67, 100), (195, 420))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.shared_chars for r in spans.shared_report(docs).where("copies = 0").collect()} == {i: n for i, n in covered(rows, 200).items() if sum(t == dict(rows)[i] for _, t in rows) == 1}
+
+
+def test_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PER_SALT", 3)
+    run = "".join(chr(97 + (i * i) % 26) for i in range(250))
+    rows = [(i, run) for i in range(10)] + [(i, f"{i}" + run + "|" * i) for i in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_a, r.doc_b) for r in spans.found(docs).collect()]
+    assert len(got) == len(set(got)) == 190
+    monkeypatch.setattr(spans, "BROADCAST_ROWS", 0)
+    assert {(r.doc_a, r.doc_b) for r in spans.found(docs).collect()} == set(got)
 
 
 def test_steps_without_a_common_period():
-    # one seed that recurs at 5 in one text and at 7 in the other, as far as a seed of 8 goes
-    a, b = np.array([0, 1, 0, 1, 1] * 8), np.array([0, 1, 0, 1, 1, 0, 1] * 6)
-    got = spans.periodic_runs(a, b, [(0, 0, 5, 7)], 8, 8)
-    starts = [(i, j) for i in range(0, 33, 5) for j in range(0, 35, 7) if (a[i : i + 8] == b[j : j + 8]).all()]
-    want = {spans.common_run(a, b, i, j)[:1] + (spans.common_run(a, b, i, j)[0] + j - i, spans.common_run(a, b, i, j)[1]) for i, j in starts}
-    assert want and {tuple(r) for r in got.tolist()} == want
+    """One seed of 8 that recurs at 5 in one text and at 7 in the other: every two places are tried."""
+    a, b = "abababba" * 3, "zz" + "abababba" * 2
+    want = any(spans._run_through(a, i, b, j, 8) >= 16 for i in (0, 8, 16) for j in (2, 10))
+    assert want
+    assert spans.aligned(a, 0, 8, 3, b, 2, 8, 2, 8, 16)
+    assert spans.aligned(a, 0, 8, 3, b, 10, 0, 1, 8, 10)
+    assert not spans.aligned("q" + a[:8] + "r", 1, 0, 1, "s" + a[:8] + "t", 1, 0, 1, 8, 9)
