@@ -1,37 +1,43 @@
 """Variant spellings of names typed by people (problem 1).
 
 Every name is rewritten into all its canonical forms: nicknames into given names, names into initials, tokens into both
-orders, type words of organisations into their codes, legal forms away, and each form again with up to two letters missing,
-so that typing slips meet. Names are linked where forms are equal; a link scores by the rarity of the form they share and
-by the rewriting it took.
+orders, type words of organisations into their codes, legal forms away, and each form again with letters missing, so that
+typing slips meet. The forms are exploded and equi-joined; a link scores by how rare the form is that both share, in bits, less
+what the rewriting cost.
 
-Residents are linked within their form, so their forms are exploded and joined inside the row: no shuffle at all. Agencies
-are counted by text first; the forms of the distinct texts are exploded and equi-joined, a spelling follows the far more
-frequent spelling it meets, and pointers are doubled until every spelling points at its organisation.
+Residents: names of one form meet on (form_id, form). The rarity of a form is the share of all residents of the corpus that
+have it, smoothed towards what such a form has without any data, so that small and large inputs are judged alike. An exact check of
+the spelled-out parts follows. In a form the best links go first; what fits two residents equally well stays open unless
+both lists are of one length and their places agree; an entry left over is linked to the one resident it fits, also if that resident has another.
 
-Scale: the agency side works on distinct texts, whose number is that of the spellings, not of the forms. Pairs of one
-organisation are the result asked for; they are made by a salted self-join on it, so that one organisation with a third of
-all spellings spreads over many tasks.
+Agencies: the forms of the distinct spellings of one type of organisation are equi-joined; a spelling points at the one of those before
+it in (count, text) that it meets on the rarest form at the fewest edits, and the pointers are followed to their ends. Counts
+only order the spellings: two spellings are linked whatever their counts are.
 
-Defined results: missing texts (NULL, blank, NA), times, ticks and remarks are no names; equal texts are no pair; if two
-residents fit an entry equally well, the one at the entry's place wins where the lists are of one length, else none; repeated
-forms and rows count once; empty tables give none.
+Scale: residents go on only from forms where an entry is a name that differs from all residents, and forms that both lists of a form have
+are picked within the row, so that what is exploded and shuffled is about what matches. The agency side works on distinct texts.
+Pairs of one organisation are the result asked for; they are made by a self-join with salts by its size.
+
+Defined results: missing texts (NULL, blank, NA), times, ticks and remarks are no names; equal texts are no pair; repeated
+forms and rows count once; empty tables give none; names of any length meet within two edits.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drillmill.llm.strings import DeleteIndex, deletes, weighted_distance
-from drillmill.session import cut
+from drillmill.llm.joins import BROADCAST_ROWS, roots, self_pairs
+from drillmill.llm.strings import DeleteIndex, meeting_forms, weighted_distance
+from drillmill.session import bounded, cut
 from drillmill.sources.tables import forms_once
 
 RESIDENTS, SAFE, AGENCY = "Name_of_Individuals_Residing_in_the_Residence", "At_Safe_Area", "DDSO_Provider_Agency"
@@ -46,6 +52,11 @@ NICKNAMES = {
     "nicholas": ("nick", "nicky"), "oliver": ("ollie",), "patricia": ("pat", "patty", "trish", "tricia"), "raymond": ("ray",),
     "richard": ("rick", "richie", "dick", "rich"), "robert": ("bob", "rob", "bobby"), "samuel": ("sam", "sammy"), "susan": ("sue", "susie", "suzie"), "quentin": ("quent",), "yolanda": ("yoli",),
     "theodore": ("ted", "teddy", "theo"), "thomas": ("tom", "tommy"), "valentina": ("val", "tina"), "vincent": ("vince", "vinny"),
+    "abigail": ("abby", "gail"), "andrew": ("andy", "drew"), "barbara": ("barb", "babs"), "benjamin": ("ben", "benny", "benji"), "catherine": ("cathy", "cath", "cat"), "charles": ("charlie", "chuck", "chas"),
+    "cynthia": ("cindy",), "daniel": ("dan", "danny"), "david": ("dave", "davy"), "donald": ("don", "donnie"), "eleanor": ("ellie", "nell", "nora"), "eugene": ("gene",), "gregory": ("greg",), "henry": ("hank", "harry"),
+    "jacob": ("jake",), "jennifer": ("jen", "jenny"), "jessica": ("jess", "jessie"), "john": ("jack", "johnny"), "jonathan": ("jon", "nathan"), "joseph": ("joe", "joey"), "joshua": ("josh",), "judith": ("judy",),
+    "kenneth": ("ken", "kenny"), "matthew": ("matt",), "melissa": ("mel", "missy"), "nathaniel": ("nate", "nat", "nathan"), "pamela": ("pam",), "philip": ("phil",), "rebecca": ("becky", "becca"), "ronald": ("ron", "ronnie"),
+    "sarah": ("sally", "sadie"), "stephen": ("steve", "stevie"), "timothy": ("tim", "timmy"), "victoria": ("vicky", "tori"), "walter": ("walt", "wally"),
     "virginia": ("ginny", "ginger"), "wilhelmina": ("mina", "billie", "willa"), "william": ("bill", "will", "billy", "liam"), "zachary": ("zach", "zack"),
 }
 FORMAL = defaultdict(set)
@@ -57,16 +68,23 @@ for _name, _short in NICKNAMES.items():
 _TITLE = re.compile(r"^(?:mr|mrs|ms|mx|miss|dr|nurse|supervisor|sr|jr)\b\.?\s+", re.I)
 _TAIL = re.compile(r"\s*(?:\([^()]*\)|[-–]\s*(?:yes|no|ok|y|n)\b|\b(?:ok|yes)$|[✓✔]$|(?<=\s)[xX]$|\d+:\d\d\b.*|\b\d+\s*s(?:ec)?\b.*|w/.*)\s*$", re.I)
 _NO_NAME = {"y", "yes", "n", "no", "na", "n/a", "ok", "x", "none", "all", "ja", "si", "sí"}
+_SPECIAL = _NO_NAME | set("mr mrs ms mx miss dr nurse supervisor sr jr staff visitor visitors guest relief nobody w s sec".split())
 _REMARK = re.compile(r"\d|\b(?:staff|visitor|visitors|guest|relief|nobody)\b", re.I)
 
 
 def fold(text: str) -> str:
+    """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c)).replace("ß", "ss").replace("ø", "o").replace("ł", "l")
 
 
 def person_core(text: str | None) -> str:
     """The name in an entry, without titles, ticks, times and remarks; empty if there is none."""
     t = (text or "").strip()
+    words = t.lower().replace(",", " ").replace(".", " ").split()
+    if words and all(map(str.isalpha, words)) and _SPECIAL.isdisjoint(words):
+        return t
     while True:
         s = _TITLE.sub("", _TAIL.sub("", t)).strip()
         if s == t:
@@ -114,63 +132,88 @@ def _given(word: str) -> set[str]:
     return FORMAL.get(word, {word})
 
 
-def rewritings(p: Person, slips: bool) -> dict[str, float]:
-    """Canonical form -> cost of the rewriting. Forms carry their kind, so that only like forms meet.
+#: Kinds of forms with the bits that sharing one says without any data: given name or initial with surname, surname, given name with
+#: the surname's initial, two initials, given name, first initial.
+PRIOR_BITS = {"il": 11.0, "l": 10.0, "gi": 9.0, "ii": 9.0, "g": 6.0, "i": 4.0}
+#: Residents that the prior counts for; bits that a whole given name says beyond its initial; bits lost by a slip, by turned
+#: parts, by a monogram. A link of a leftover entry says at least LEAST bits.
+PRIOR_WEIGHT, GIVEN_BITS, SLIP_BITS, TURNED_BITS, MONOGRAM_BITS, LEAST = 64, 3.0, 4.0, 1.0, 1.0, 5.0
+
 
-    slips: also the forms with letters missing.
-    """
-    short = deletes if slips else lambda word, most: {word}
-    out: dict[str, float] = {}
+def rewritings(p: Person, slips: bool = True) -> dict[str, tuple[float, str]]:
+    """Canonical form -> (bits of the rewriting, gained or lost; the form whose rarity counts). Forms carry their kind, so that
+    only like forms meet; those with letters missing (slips) carry a mark, so that they meet each other and the whole form."""
+    out: dict[str, tuple[float, str]] = {}
 
-    def add(form: str, cost: float) -> None:
-        if cost < out.get(form, 9.0):
-            out[form] = cost
+    def add(form: str, bits: float, base: str) -> None:
+        if form not in out or bits > out[form][0]:
+            out[form] = (bits, base)
 
     if p.monogram:
-        add(f"m:{p.monogram[0]}{p.monogram[-1]}", 3.0)
+        a, b = p.monogram[0], p.monogram[-1]
+        add(f"m:{a}{b}", -MONOGRAM_BITS, f"ii:{a}|{b}")
         return out
-    for given, _, last, turned in p.readings:
-        names = _given(given) if len(given) > 1 else set()
-        initials = {given[0]} | {n[0] for n in names} if given else set()
+    for given, _, last, cost in p.readings:
+        turned = -TURNED_BITS if cost else 0.0
+        names = sorted(_given(given)) if len(given) > 1 else []
+        initials = sorted({given[0]} | {n[0] for n in names}) if given else []
         if len(last) > 1:
-            lasts = [(last, 0.0)] + [(d, 1.0) for d in short(last, 1 if len(last) < 7 else 2) if d != last]
             for f in names:
-                for d, c in lasts:
-                    add(f"gl:{f}|{d}", turned + c)
-                    add(f"il:{f[0]}|{d}", turned + c + 1.0)
-                for d in short(f, 1) - {f}:
-                    add(f"gl:{d}|{last}", turned + 1.0)
-                add(f"gi:{f}|{last[0]}", turned + 1.5)
-                for d in short(f, 1) - {f}:
-                    add(f"gi:{d}|{last[0]}", turned + 2.5)
-                add(f"g:{f}", turned + 2.0)
-                for d in short(f, 1) - {f}:
-                    add(f"g:{d}", turned + 3.0)
-            if len(given) == 1:
-                add(f"g1:{given}", turned + 1.5)  # a lone given name may stand for it
+                add(f"gl:{f}|{last}", turned + GIVEN_BITS, f"il:{f[0]}|{last}")
             for i in initials:
-                for d, c in lasts:
-                    add(f"il:{i}|{d}", turned + c + 1.0)
-                add(f"ii:{i}|{last[0]}", turned + 2.0)
-                add(f"m:{i}{last[0]}", turned + 3.0)
-            for d, c in lasts:
-                add(f"l:{d}", turned + c + 2.0)
-        elif len(last) == 1:
-            for f in names:
-                add(f"gi:{f}|{last}", turned + 1.5)
-                for d in short(f, 1) - {f}:
-                    add(f"gi:{d}|{last}", turned + 2.5)
-            for i in initials:
-                add(f"ii:{i}|{last}", turned + 2.0)
-        elif given:
-            for f in names:
-                add(f"g:{f}", 2.0)
-                add(f"g1:{f[0]}", 3.5)
-                for d in short(f, 1) - {f}:
-                    add(f"g:{d}", 3.0)
+                add(f"il:{i}|{last}", turned, f"il:{i}|{last}")
+                add(f"m:{i}{last[0]}", turned - MONOGRAM_BITS, f"ii:{i}|{last[0]}")
+            add(f"l:{last}", turned, f"l:{last}")
+            for d in meeting_forms(last, 1 if len(last) < 7 else 2) if slips else ():
+                add(f"~l:{d}", turned - SLIP_BITS / (1 if d != last else 2), f"l:{last}")
+        tail = last[:1]
+        for f in names:
+            if tail:
+                add(f"gi:{f}|{tail}", turned, f"gi:{f}|{tail}")
+            add(f"g:{f}", turned, f"g:{f}")
+            for d in meeting_forms(f, 1) if slips else ():
+                add(f"~g:{d}", turned - SLIP_BITS / (1 if d != f else 2), f"g:{f}")
+            if not last:
+                add(f"g1:{f[0]}", turned - 1.0, f"i:{f[0]}")
+        if len(given) == 1 and len(last) > 1:
+            add(f"g1:{given}", turned, f"i:{given}")  # a lone given name may stand for it
+        for i in initials:
+            if tail:
+                add(f"ii:{i}|{tail}", turned, f"ii:{i}|{tail}")
     return out
 
 
+def key_of(form: str) -> int:
+    """A form as a 64-bit number."""
+    return xxhash.xxh3_64_intdigest(form) - (1 << 63)
+
+
+@functools.lru_cache(200_000)
+def _slip_keys(kind: str, word: str, most: int) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    """Keys of the forms of a word with letters missing, and what they cost."""
+    forms = sorted(meeting_forms(word, most))
+    return tuple(key_of(f"~{kind}:{d}") for d in forms), tuple(-SLIP_BITS / (1 if d != word else 2) for d in forms)
+
+
+def form_keys(p: Person) -> tuple[list[int], list[int], list[float]]:
+    """(keys of all rewritings, keys of the forms whose rarity counts, bits): what rewritings gives, with slips kept by word."""
+    key, base, bits = [], [], []
+    for form, (b, whole) in rewritings(p, False).items():
+        key.append(key_of(form))
+        base.append(key_of(whole))
+        bits.append(b)
+    for given, _, last, cost in () if p.monogram else p.readings:
+        turned = -TURNED_BITS if cost else 0.0
+        lists = [("l", last, 1 if len(last) < 7 else 2)] if len(last) > 1 else []
+        lists += [("g", f, 1) for f in sorted(_given(given))] if len(given) > 1 else []
+        for kind, word, most in lists:
+            keys, lost = _slip_keys(kind, word, most)
+            key += keys
+            base += [key_of(f"{kind}:{word}")] * len(keys)
+            bits += [turned + x for x in lost] if turned else lost
+    return key, base, bits
+
+
 def compatible(a: Person, b: Person) -> bool:
     """False if both names are spelled out and differ beyond a slip."""
     if a.monogram or b.monogram:
@@ -193,89 +236,147 @@ def compatible(a: Person, b: Person) -> bool:
     return False
 
 
-def link_residents(residents: list[str], entries: list[str]) -> set[tuple[str, str]]:
-    """Pairs of differing texts, one of each list, that stand for the same resident."""
-    texts = [t for t in dict.fromkeys(residents) if person_core(t)]
-    options = [e for e in dict.fromkeys(entries) if person_core(e)]
-    if not texts or not options:
-        return set()
-    people = [Person(person_core(t)) for t in texts]
-    others = [Person(person_core(e)) for e in options]
-    place: dict[int, int] = {i: residents.index(t) for i, t in enumerate(texts)}
+def assign(residents: list[str], entries: list[str], links: list[tuple[int, int, float]]) -> list[tuple[str, str]]:
+    """Pairs of differing texts that stand for one resident. links: (entry, resident, bits) by place in the lists."""
+    texts = list(dict.fromkeys(t for t in residents if person_core(t)))
+    options = list(dict.fromkeys(e for e in entries if person_core(e)))
+    people, others = [Person(person_core(t)) for t in texts], [Person(person_core(e)) for e in options]
     same_length = len(residents) == len(entries)
-    scored: list[tuple[float, int, int]] = [(100.0, options.index(t), i) for i, t in enumerate(texts) if t in options]
-    left = [e for e, t in enumerate(options) if t not in texts]
-    for slips in (False, True):  # forms with letters missing only for what meets nobody without
-        forms: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        if left:
-            for i, p in enumerate(people):
-                for form, cost in rewritings(p, slips).items():
-                    forms[form].append((i, cost))
-        met = set()
-        for e in left:
-            best: dict[int, float] = {}
-            for form, cost in rewritings(others[e], slips).items():
-                owners = forms.get(form, ())
-                for i, own in owners:
-                    score = 14.0 - cost - own - 0.5 * (len(owners) - 1)  # a form that several residents share says less
-                    if score > best.get(i, 0.0):
-                        best[i] = score
-            for i, score in best.items():
-                if compatible(people[i], others[e]):
-                    scored.append((score - 4.0 * slips, e, i))
-                    met.add(e)
-        left = [e for e in left if e not in met]
-    taken_e: set[int] = set()
-    taken_i: set[int] = set()
-    pairs = set()
+    best: dict[tuple[int, int], float] = {}
+    for e, i, bits in links:
+        pair = (options.index(entries[e]), texts.index(residents[i]))
+        if bits > best.get(pair, -99.0) and compatible(people[pair[1]], others[pair[0]]):
+            best[pair] = bits
+    for i, t in enumerate(texts):
+        if t in options:
+            best = {p: s for p, s in best.items() if p[0] != options.index(t)} | {(options.index(t), i): 99.0}
+    scored = [(round(2 * s), e, i) for (e, i), s in best.items()]
+    partner: dict[int, int] = {}
+    taken: set[int] = set()
     for level in sorted({s for s, _, _ in scored}, reverse=True):
         # all links of one score are judged together: what isn't mutual at that score is ambiguous, unless places agree
-        now = [(e, i) for s, e, i in scored if s == level and e not in taken_e and i not in taken_i]
+        now = [(e, i) for s, e, i in scored if s == level and e not in partner and i not in taken]
         of_e, of_i = Counter(e for e, _ in now), Counter(i for _, i in now)
         sure = [(e, i) for e, i in now if of_e[e] == of_i[i] == 1]
-        placed = [(e, i) for e, i in now if (e, i) not in sure and same_length and entries.index(options[e]) == place[i]]
+        placed = [(e, i) for e, i in now if (e, i) not in sure and same_length and entries.index(options[e]) == residents.index(texts[i])]
         for e, i in sure + placed:
-            if e not in taken_e and i not in taken_i:
-                taken_e.add(e)
-                taken_i.add(i)
-                if texts[i] != options[e]:
-                    pairs.add((min(texts[i], options[e]), max(texts[i], options[e])))
-    return pairs
-
-
-def _person_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for form_id, residents, entries in zip(batch["form_id"], batch["residents"], batch["entries"], strict=True):
-            if residents is None or entries is None:
-                continue
-            for a, b in link_residents([x or "" for x in residents], [x or "" for x in entries]):
-                rows.append((form_id, a, b))
-        yield pd.DataFrame(rows, columns=["form_id", "name_a", "name_b"]).astype({"form_id": "int64"})
+            if e not in partner and i not in taken:
+                partner[e] = i
+                taken.add(i)
+    for e in range(len(options)):  # a second writing of a resident that has one already
+        fits = {i for (x, i), s in best.items() if x == e and s >= LEAST}
+        if e not in partner and len(fits) == 1:
+            partner[e] = fits.pop()
+    return sorted((min(texts[i], options[e]), max(texts[i], options[e])) for e, i in partner.items() if texts[i] != options[e])
+
+
+_FORMS = T.StructType([T.StructField(n, T.ArrayType(T.LongType() if n != "bits" else T.FloatType())) for n in ("key", "base", "no", "bits")])
+
+
+def _rewritten(lists: pd.Series, others: pd.Series | None) -> pd.DataFrame:
+    rows = []
+    for n, texts in enumerate(lists):
+        skip = set() if others is None else set(others.iloc[n])
+        key, base, no, bits = [], [], [], []
+        seen = set()
+        for k, t in enumerate(texts):
+            if t and t not in skip and t not in seen and (core := person_core(t)):
+                seen.add(t)
+                more = form_keys(Person(core))
+                for have, new in zip((key, base, bits), more, strict=True):
+                    have += new
+                no += [k] * len(more[0])
+        rows.append((key, base, no, bits))
+    return pd.DataFrame(rows, columns=["key", "base", "no", "bits"])
+
+
+@F.pandas_udf(_FORMS)
+def _resident_forms(residents: pd.Series) -> pd.DataFrame:
+    return _rewritten(residents, None)
+
+
+@F.pandas_udf(_FORMS)
+def _entry_forms(entries: pd.Series, residents: pd.Series) -> pd.DataFrame:
+    """Of the entries that aren't a resident's text as it stands."""
+    return _rewritten(entries, residents)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("prior", T.FloatType())])))
+def _bases(texts: pd.Series) -> pd.Series:
+    """The forms of a name whose rarity counts, with their prior share."""
+    out = []
+    for t in texts:
+        core = person_core(t)
+        forms = {base for _, base in rewritings(Person(core), False).values()} if core else ()
+        out.append([{"key": key_of(f), "prior": 2.0 ** -PRIOR_BITS[f.split(":")[0]]} for f in forms])
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _assign(residents: pd.Series, entries: pd.Series, links: pd.Series) -> pd.Series:
+    return pd.Series([[list(p) for p in assign(list(r), list(e), [(x["e"], x["r"], x["bits"]) for x in found])] for r, e, found in zip(residents, entries, links, strict=True)], dtype=object)
+
+
+def rarity(residents: DataFrame) -> DataFrame:
+    """key, bits: of each form of the residents (text, n), how rare it is among all of them."""
+    each = residents.select("n", F.explode(_bases("text")).alias("x")).groupBy("x.key").agg(F.sum("n").alias("n"), F.min("x.prior").alias("prior"))
+    total = residents.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    share = (F.col("n") + PRIOR_WEIGHT * F.col("prior")) / (F.col("total") + PRIOR_WEIGHT)
+    return each.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("key", (-F.log2(share)).alias("bits"))
+
+
+def person_links(forms: DataFrame) -> DataFrame:
+    """form_id, residents, entries, links (e, r, bits: places in the lists): all names of a form that share a form."""
+    blank = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")))
+    once = cut(forms_once(forms, ["form_id", RESIDENTS, SAFE]).select("form_id", blank(F.col(RESIDENTS)).alias("residents"), blank(F.col(SAFE)).alias("entries")))
+    # an entry without two letters is no name; one that is a resident's text as it stands needs no link
+    asked = once.where(F.exists("entries", lambda e: e.rlike(r"(?U)\p{L}.*\p{L}|^\p{L}\.?$") & ~F.array_contains(F.col("residents"), e)) & (F.size("residents") > 0))
+    told = asked.withColumn("e", _entry_forms("entries", "residents")).where(F.size("e.key") > 0).withColumn("r", _resident_forms("residents"))
+    both = told.withColumn("shared", F.array_intersect("e.key", "r.key")).where(F.size("shared") > 0)
+    part = lambda x: F.filter(F.arrays_zip(f"{x}.key", f"{x}.base", f"{x}.no", f"{x}.bits"), lambda f: F.array_contains(F.col("shared"), f["key"]))
+    kept = cut(both.select("form_id", "residents", "entries", part("e").alias("e"), part("r").alias("r")))
+    side = lambda x: kept.select("form_id", F.explode(x).alias("f")).select("form_id", F.col("f.key").alias("key"), F.col("f.base").alias(f"base_{x}"), F.col("f.no").cast("int").alias(x), F.col("f.bits").alias(f"bits_{x}"))
+    met = side("e").join(side("r"), ["form_id", "key"])
+    people = once.select(F.explode("residents").alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    rare = bounded(rarity(people), BROADCAST_ROWS)
+    met = met.groupBy("form_id", "e", "r", "base_r").agg(F.max((F.col("bits_r") + F.col("bits_e")) / 2).alias("bits"))
+    scored = met.join(rare.select(F.col("key").alias("base_r"), F.col("bits").alias("rare")), "base_r").select("form_id", "e", "r", (F.col("rare") + F.col("bits")).alias("bits"))
+    best = scored.groupBy("form_id", "e", "r").agg(F.max("bits").alias("bits")).groupBy("form_id").agg(F.collect_list(F.struct("e", "r", "bits")).alias("links"))
+    return kept.select("form_id", "residents", "entries").join(best, "form_id")
 
 
 def person_pairs(forms: DataFrame) -> DataFrame:
-    once = forms_once(forms, ["form_id", RESIDENTS, SAFE]).select("form_id", F.col(RESIDENTS).alias("residents"), F.col(SAFE).alias("entries"))
-    rows = once.where((F.size("residents") > 0) & (F.size("entries") > 0)).mapInPandas(_person_rows, "form_id long, name_a string, name_b string")
-    return rows.select(F.lit("person").alias("kind"), "form_id", "name_a", "name_b")
+    pairs = person_links(forms).select("form_id", F.explode(_assign("residents", "entries", "links")).alias("p"))
+    return pairs.select(F.lit("person").alias("kind"), "form_id", F.col("p")[0].alias("name_a"), F.col("p")[1].alias("name_b"))
 
 
-#: The two words of an organisation's type, with their short forms (fixed values).
+#: The two words of an organisation's type by its code (fixed values). A word stands for one of them as it is, abbreviated or misspelt.
 TYPES = {
-    "rs": (("residential", "res", "resid"), ("services", "service", "svcs", "svc", "serv")), "fs": (("family", "fam"), ("supports", "support", "supp", "spts", "spt")),
-    "ds": (("developmental", "development", "devel", "dev"), ("services", "service", "svcs", "svc", "serv")), "ch": (("community", "comm", "cmty"), ("homes", "home", "hms", "hm")),
-    "cn": (("care", "cr"), ("network", "netwk", "net")), "hp": (("habilitation", "habil", "hab"), ("partners", "partner", "ptnrs", "part")),
-    "la": (("living", "lvg"), ("alternatives", "alternative", "altern", "alts", "alt")), "sa": (("support", "supp", "spt"), ("agency", "agcy", "ag")),
+    "rs": ("residential", "services"), "fs": ("family", "supports"), "ds": ("developmental", "services"), "ch": ("community", "homes"),
+    "cn": ("care", "network"), "hp": ("habilitation", "partners"), "la": ("living", "alternatives"), "sa": ("support", "agency"),
 }
 _LEGAL = {"inc", "incorporated", "llc", "ltd", "corp", "corporation", "co", "the"}
 _GENERIC = {"agency", "ddso", "agcy", "provider"}
 _LINK = {"of", "at", "in", "for"}
-_WORDS = DeleteIndex({w for pair in TYPES.values() for side in pair for w in side if len(w) >= 5})
+_FULL = sorted({w for pair in TYPES.values() for w in pair})
+_WORDS = DeleteIndex(w for w in _FULL if len(w) >= 5)
+
+
+def abbreviates(word: str, full: str) -> bool:
+    """The full word's first letter, then some of its letters in their order."""
+    rest = iter(full[1:])
+    return len(word) >= 2 and word[0] == full[0] and all(c in rest for c in word[1:])
 
 
-def _type_words(word: str) -> set[str]:
-    known = {w for pair in TYPES.values() for side in pair for w in side}
-    return {word} if word in known else {w for w, _ in _WORDS.near(word)} if len(word) >= 4 else set()
+@functools.cache
+def _type_words(word: str) -> frozenset[str]:
+    """The type words that a word may stand for: itself, with or without a plural s, what it abbreviates, else what it is near to."""
+    plural = {w for w in _FULL if w.rstrip("s") == word.rstrip("s")}
+    if plural:
+        return frozenset(plural)
+    short = {w for w in _FULL if abbreviates(word, w)} if len(word) <= 8 else set()
+    near = {w for w, _ in _WORDS.near(word)} if len(word) >= 4 else set()
+    return frozenset(short | near)
 
 
 def agency_readings(text: str) -> list[tuple[str, str]]:
@@ -286,7 +387,7 @@ def agency_readings(text: str) -> list[tuple[str, str]]:
     out = []
     for code, (first, second) in TYPES.items():
         for i in range(len(words) - 1):
-            if (_type_words(words[i]) & set(first)) and (_type_words(words[i + 1]) & set(second)):
+            if first in _type_words(words[i]) and second in _type_words(words[i + 1]):
                 rest = words[:i] + words[i + 2 :]
                 if i == 0 and rest and rest[0] in _LINK:
                     rest = rest[1:]
@@ -306,13 +407,9 @@ def _readings(texts: pd.Series) -> pd.Series:
     return pd.Series([[f"{a}:{b}" for a, b in agency_readings(t)] for t in texts], dtype=object)
 
 
-def _slips(stem: str) -> list[str]:
-    return sorted(deletes(stem, 1 if len(stem) < 6 else 2)) if len(stem) <= 40 else [stem]
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _forms(stems: pd.Series) -> pd.Series:
-    return pd.Series([_slips(s) for s in stems], dtype=object)
+    return pd.Series([sorted(meeting_forms(s, 1 if len(s) < 6 else 2)) for s in stems], dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -320,9 +417,6 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_distance(x, y, 2.0) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-SALTS = 8
-
-
 def agency_classes(forms: DataFrame) -> DataFrame:
     """text, class: every spelling of an agency that can be told, with the type and stem of its organisation."""
     clean = forms.where(F.col(AGENCY).isNotNull() & ~F.upper(F.regexp_replace(AGENCY, r"(?U)^\s+|\s+$", "")).isin("", "NA"))
@@ -330,22 +424,19 @@ def agency_classes(forms: DataFrame) -> DataFrame:
     read = cut(counted.select("text", "n", F.explode(_readings("text")).alias("r")).select("text", "n", F.split_part("r", F.lit(":"), F.lit(1)).alias("type"), F.split_part("r", F.lit(":"), F.lit(2)).alias("stem")))
     nodes = read.groupBy("type", "stem").agg(F.sum("n").alias("n"))
     typed = nodes.where("type <> ''")
-    # spellings of one type whose forms meet; a spelling follows the nearest of those above it by count, then text
     exploded = typed.select("type", "stem", "n", F.explode(_forms("stem")).alias("form"))
-    a, b = (exploded.select("type", "form", F.col("stem").alias(f"stem_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    meets = a.join(b, ["type", "form"]).where(F.struct("n_b", "stem_b") > F.struct("n_a", "stem_a")).select("type", "stem_a", "stem_b", "n_b").distinct()
-    near = meets.withColumn("d", _distance("stem_a", "stem_b")).where("d <= 2.0")
-    parents = near.groupBy("type", "stem_a").agg(F.max_by("stem_b", F.struct(-F.col("d"), "n_b", "stem_b")).alias("up"))
-    roots = cut(typed.join(parents.select("type", F.col("stem_a").alias("stem"), "up"), ["type", "stem"], "left").select("type", "stem", "n", F.coalesce("up", "stem").alias("root")))
-    moved = True
-    while moved:  # each step doubles how far a pointer reaches, up to the end of the longest chain
-        up = roots.select("type", F.col("stem").alias("root"), F.col("root").alias("next"))
-        further = cut(roots.join(up, ["type", "root"]).select("type", "stem", "n", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        moved = not further.where("moved").isEmpty()
-        roots = further.drop("moved")
-    whole = read.where("type <> ''").join(roots.select("type", "stem", "root"), ["type", "stem"])
+    meets = self_pairs(exploded, ["type", "form"], F.struct("n_b", "stem_b") > F.struct("n_a", "stem_a"))
+    # how many stems of the type have the form: the fewer, the more it says
+    rare = exploded.groupBy("type", "form").agg(F.count("*").alias("stems"))
+    best = meets.join(rare, ["type", "form"]).groupBy("type", "stem_a", "stem_b", "n_b").agg(F.min("stems").alias("stems"))
+    near = best.withColumn("d", _distance("stem_a", "stem_b")).where("d <= 2.0")
+    score = -F.log2("stems") - SLIP_BITS * F.col("d")
+    parents = near.groupBy("type", "stem_a").agg(F.max_by("stem_b", F.struct(score, "n_b", "stem_b")).alias("up")).withColumnRenamed("stem_a", "stem")
+    found = roots(typed.join(parents, ["type", "stem"], "left"), ["type"], "stem")
+    ends = found.join(typed, ["type", "stem"])
+    whole = read.where("type <> ''").join(found, ["type", "stem"])
     # several readings of one text: the organisation with most forms
-    sizes = roots.groupBy("type", "root").agg(F.sum("n").alias("size"))
+    sizes = ends.groupBy("type", "root").agg(F.sum("n").alias("size"))
     told = whole.join(sizes, ["type", "root"]).groupBy("text").agg(F.max_by(F.struct("type", "root"), F.struct("size", "type", "root")).alias("c"))
     # a name without its type stands for the one organisation of that stem, however spelled; of several it stays open
     bare = read.where("type = ''").select("text", F.explode(_forms("stem")).alias("form"), "stem")
@@ -357,10 +448,8 @@ def agency_classes(forms: DataFrame) -> DataFrame:
 
 
 def agency_pairs(forms: DataFrame) -> DataFrame:
-    classes = agency_classes(forms).select("text", F.xxhash64("c").alias("c"))
-    left = classes.select(F.col("text").alias("name_a"), "c", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int").alias("salt"))
-    right = classes.select(F.col("text").alias("name_b"), "c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = left.join(right, ["c", "salt"]).where(F.col("name_a") < F.col("name_b"))
+    classes = agency_classes(forms).select(F.col("text").alias("name"), F.xxhash64("c").alias("c"))
+    pairs = self_pairs(classes, ["c"], F.col("name_a") < F.col("name_b"))
     return pairs.select(F.lit("agency").alias("kind"), F.lit(0).cast("long").alias("form_id"), "name_a", "name_b")
 
 

@@ -66,6 +66,28 @@ def deletes(word: str, most: int) -> set[str]:
     return out
 
 
+#: Words above this length meet by segments instead of deletes, whose number grows with the square of the length.
+LONG = 40
+
+
+def meeting_forms(word: str, most: int) -> set[str]:
+    """Strings of which two words have one in common if at most `most` edits (0 to 2) lie between them.
+
+    Short words: what is left after deletes. Long words: of most + 1 segments one stays as it is and moves by `most` at most, so
+    the segments of the word, cut as for each length that the other word may have, meet the other word's own.
+    """
+    if len(word) <= LONG:
+        return deletes(word, most)
+    out = set()
+    for n in range(len(word) - most, len(word) + most + 1):
+        edges = [n * k // (most + 1) for k in range(most + 2)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            for shift in range(-most, most + 1):
+                if 0 <= a + shift and b + shift <= len(word):
+                    out.add(f"{n}:{k}:{word[a + shift : b + shift]}")
+    return out
+
+
 def allowed(length: int) -> int:
     """Edits that a word of some length may carry: none up to two characters, one up to four, two beyond."""
     return 0 if length <= 2 else 1 if length <= 4 else 2

@@ -13,14 +13,43 @@ LINKS = [
     (["Ann Lee", "Amy Lee"], ["NA", "A. Lee"], {("A. Lee", "Amy Lee")}),
     (["Zachary Lunfield", "L. Lunfield"], ["Z. Lunfield", "L. Lunfield"], {("Z. Lunfield", "Zachary Lunfield")}),
     (["Michael Cadholt", "Margaret Cadholt"], ["Margaret Cadholt", "Mike C."], {("Michael Cadholt", "Mike C.")}),
+    (["Robert Haskfield"], ["Bob Haskfield", "R. Haskfield"], {("Bob Haskfield", "Robert Haskfield"), ("R. Haskfield", "Robert Haskfield")}),
+    (["Nathaniel Orr", "Jennifer Poe"], ["Nate Orr", "Jen P."], {("Nate Orr", "Nathaniel Orr"), ("Jen P.", "Jennifer Poe")}),
+    (["Bo Wolfeschlegelsteinhausenbergerdorffwelchevoralternw"], ["B. Wolfeschlegelsteinhausenbergerdorfwelchevoralternw"], {("B. Wolfeschlegelsteinhausenbergerdorfwelchevoralternw", "Bo Wolfeschlegelsteinhausenbergerdorffwelchevoralternw")}),
     ([], ["x"], set()),
     (["", "NA"], [], set()),
 ]
 
 
-@pytest.mark.parametrize(("residents", "entries", "want"), LINKS)
-def test_residents(residents, entries, want):
-    assert names.link_residents(residents, entries) == {(min(p), max(p)) for p in want}
+def test_residents(make_forms):
+    forms = make_forms(*({"form_id": i, names.RESIDENTS: r, names.SAFE: e} for i, (r, e, _) in enumerate(LINKS)))
+    got = {i: set() for i in range(len(LINKS))}
+    for r in names.person_pairs(forms.unionByName(forms)).collect():
+        assert (r.name_a, r.name_b) not in got[r.form_id]
+        got[r.form_id].add((r.name_a, r.name_b))
+    for i, (_, _, want) in enumerate(LINKS):
+        assert got[i] == {(min(p), max(p)) for p in want}, LINKS[i]
+
+
+def test_keys_are_those_of_all_rewritings():
+    for text in ("Orin P. Thalison", "Solrin, Priya", "OPT", "Cher", "H. Elldane", "Kate Marner-Lowe", "x" * 60 + " Bo"):
+        p, best = names.Person(text), {}
+        for key, base, bits in zip(*names.form_keys(p), strict=True):
+            best[key] = max(best.get(key, (-99.0, 0)), (bits, base))
+        want = {names.key_of(f): (b, names.key_of(whole)) for f, (b, whole) in names.rewritings(p).items()}
+        assert best.keys() == want.keys()
+        assert all(best[k][0] == want[k][0] for k in want)
+
+
+def test_rare_forms_say_more(spark):
+    people = spark.createDataFrame([("Ann Lee", 900), ("Bo Quillfeather", 1), ("Al Lee", 80)], "text string, n long")
+    bits = {r.key: r.bits for r in names.rarity(people).collect()}
+    assert bits[names.key_of("l:quillfeather")] > bits[names.key_of("l:lee")]
+
+
+def test_nicknames():
+    for short, long in (("Nate", "Nathaniel"), ("Jen", "Jennifer"), ("Becky", "Rebecca")):
+        assert names.rewritings(names.Person(f"{short} Orr")).keys() & {f"gl:{long.lower()}|orr"}
 
 
 @pytest.mark.parametrize(
@@ -48,6 +77,28 @@ def test_found(make_forms):
     assert names.found(forms.where("1 = 0")).count() == 0
 
 
+def test_counts_do_not_decide(make_forms):
+    for more, less in ((3, 2), (5, 2), (1, 1)):
+        spell = ["Dorornock Residential Services"] * more + ["Dorornok Residential Services"] * less + ["x" * 45 + " Care Network", "x" * 20 + "y" + "x" * 25 + " Care Network"]
+        pairs = {(r.name_a, r.name_b) for r in names.agency_pairs(make_forms(*({"form_id": i, names.AGENCY: t} for i, t in enumerate(spell)))).collect()}
+        assert ("Dorornock Residential Services", "Dorornok Residential Services") in pairs
+        assert len(pairs) == 2
+
+
+def test_type_words():
+    assert names.abbreviates("svcs", "services") and names.abbreviates("agcy", "agency") and not names.abbreviates("svcs", "supports") and not names.abbreviates("s", "services")
+    assert "developmental" in names._type_words("devel") and "network" in names._type_words("netowrk")
+
+
+def test_salts(make_forms, monkeypatch):
+    from drillmill.llm import joins
+
+    monkeypatch.setattr(joins, "PER_SALT", 2)
+    spell = [f"Dorornock {w} Services" for w in ("Residential", "residential", "RESIDENTIAL", "Resid", "Res", "Res.", "resid")]
+    pairs = [(r.name_a, r.name_b) for r in names.agency_pairs(make_forms(*({"form_id": i, names.AGENCY: t} for i, t in enumerate(spell)))).collect()]
+    assert len(pairs) == len(set(pairs)) == 21
+
+
 def test_slips_of_similar_counts(make_forms):
     spell = ["Ibettnnock Supp Agcy", "Ibettnock Support Agency", "Kelqrmoor Care Network", "Kelqrmor Care Network", "Kelqrmoor Care Netwk"]
     forms = make_forms(*({"form_id": i, names.AGENCY: t} for i, t in enumerate(spell)))
