@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from drillmill.session import bounded, cut
 
 PER_SALT = 500
-BROADCAST_ROWS = 300_000
+#: Rows of a few short columns that may be broadcast (under 5 MB).
+BROADCAST_ROWS = 30_000
 
 
 def self_pairs(rows: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:

@@ -28,6 +28,7 @@ import functools
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
@@ -189,29 +190,45 @@ def key_of(form: str) -> int:
 
 
 @functools.lru_cache(200_000)
-def _slip_keys(kind: str, word: str, most: int) -> tuple[tuple[int, ...], tuple[float, ...]]:
-    """Keys of the forms of a word with letters missing, and what they cost."""
-    forms = sorted(meeting_forms(word, most))
-    return tuple(key_of(f"~{kind}:{d}") for d in forms), tuple(-SLIP_BITS / (1 if d != word else 2) for d in forms)
-
-
-def form_keys(p: Person) -> tuple[list[int], list[int], list[float]]:
-    """(keys of all rewritings, keys of the forms whose rarity counts, bits): what rewritings gives, with slips kept by word."""
-    key, base, bits = [], [], []
-    for form, (b, whole) in rewritings(p, False).items():
-        key.append(key_of(form))
-        base.append(key_of(whole))
-        bits.append(b)
+def _slip_forms(kind: str, word: str, most: int) -> tuple[tuple[str, float], ...]:
+    return tuple((f"~{kind}:{d}", -SLIP_BITS / (1 if d != word else 2)) for d in sorted(meeting_forms(word, most)))
+
+
+def all_forms(p: Person) -> Iterator[tuple[str, float, str]]:
+    """(form, bits, form whose rarity counts): what rewritings gives, with the slips of a word made once."""
+    for form, (bits, base) in rewritings(p, False).items():
+        yield form, bits, base
     for given, _, last, cost in () if p.monogram else p.readings:
         turned = -TURNED_BITS if cost else 0.0
-        lists = [("l", last, 1 if len(last) < 7 else 2)] if len(last) > 1 else []
-        lists += [("g", f, 1) for f in sorted(_given(given))] if len(given) > 1 else []
-        for kind, word, most in lists:
-            keys, lost = _slip_keys(kind, word, most)
-            key += keys
-            base += [key_of(f"{kind}:{word}")] * len(keys)
-            bits += [turned + x for x in lost] if turned else lost
-    return key, base, bits
+        words = [("l", last, 1 if len(last) < 7 else 2)] if len(last) > 1 else []
+        words += [("g", f, 1) for f in sorted(_given(given))] if len(given) > 1 else []
+        for kind, word, most in words:
+            base = f"{kind}:{word}"
+            for form, bits in _slip_forms(kind, word, most):
+                yield form, turned + bits, base
+
+
+def shared_forms(residents: list[str], entries: list[str]) -> list[tuple[str, int, int, int, float]]:
+    """(side, place in its list, key, base, bits) of the forms that names of both lists have.
+
+    Entries that are a resident's text as it stands need none. Of forms that the same names share for the same reason, as equal words do
+    in each form with letters missing, the one that says most stands for all.
+    """
+    sides: list[dict[str, list[tuple[int, str, float]]]] = []
+    for texts, skip in ((residents, ()), (entries, set(residents))):
+        forms: dict[str, list[tuple[int, str, float]]] = defaultdict(list)
+        for n, t in enumerate(dict.fromkeys(texts)):
+            if t and t not in skip and (core := person_core(t)):
+                for form, bits, base in all_forms(Person(core)):
+                    forms[form].append((n, base, bits))
+        sides.append(forms)
+    best: dict[tuple, tuple[float, str]] = {}
+    for form in sides[0].keys() & sides[1].keys():
+        r, e = sides[0][form], sides[1][form]
+        reason = tuple(x[:2] for x in r), tuple(x[:2] for x in e)
+        best[reason] = max(best.get(reason, (-99.0, "")), (sum(x[2] for x in r) + sum(x[2] for x in e), form))
+    first = [[texts.index(t) for t in dict.fromkeys(texts)] for texts in (residents, entries)]
+    return [(name, first[k][n], key_of(form), key_of(base), bits) for _, form in best.values() for k, name in enumerate("re") for n, base, bits in sides[k][form]]
 
 
 def compatible(a: Person, b: Person) -> bool:
@@ -270,35 +287,13 @@ def assign(residents: list[str], entries: list[str], links: list[tuple[int, int,
     return sorted((min(texts[i], options[e]), max(texts[i], options[e])) for e, i in partner.items() if texts[i] != options[e])
 
 
-_FORMS = T.StructType([T.StructField(n, T.ArrayType(T.LongType() if n != "bits" else T.FloatType())) for n in ("key", "base", "no", "bits")])
-
-
-def _rewritten(lists: pd.Series, others: pd.Series | None) -> pd.DataFrame:
-    rows = []
-    for n, texts in enumerate(lists):
-        skip = set() if others is None else set(others.iloc[n])
-        key, base, no, bits = [], [], [], []
-        seen = set()
-        for k, t in enumerate(texts):
-            if t and t not in skip and t not in seen and (core := person_core(t)):
-                seen.add(t)
-                more = form_keys(Person(core))
-                for have, new in zip((key, base, bits), more, strict=True):
-                    have += new
-                no += [k] * len(more[0])
-        rows.append((key, base, no, bits))
-    return pd.DataFrame(rows, columns=["key", "base", "no", "bits"])
-
-
-@F.pandas_udf(_FORMS)
-def _resident_forms(residents: pd.Series) -> pd.DataFrame:
-    return _rewritten(residents, None)
+_SHARED = T.ArrayType(T.StructType([T.StructField("side", T.StringType()), T.StructField("no", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("base", T.LongType()), T.StructField("bits", T.DoubleType())]))
 
 
-@F.pandas_udf(_FORMS)
-def _entry_forms(entries: pd.Series, residents: pd.Series) -> pd.DataFrame:
-    """Of the entries that aren't a resident's text as it stands."""
-    return _rewritten(entries, residents)
+@F.pandas_udf(_SHARED)
+def _shared_forms(residents: pd.Series, entries: pd.Series) -> pd.Series:
+    names = ("side", "no", "key", "base", "bits")
+    return pd.Series([[dict(zip(names, x, strict=True)) for x in shared_forms(list(r), list(e))] for r, e in zip(residents, entries, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("prior", T.FloatType())])))
@@ -320,9 +315,9 @@ def _assign(residents: pd.Series, entries: pd.Series, links: pd.Series) -> pd.Se
 def rarity(residents: DataFrame) -> DataFrame:
     """key, bits: of each form of the residents (text, n), how rare it is among all of them."""
     each = residents.select("n", F.explode(_bases("text")).alias("x")).groupBy("x.key").agg(F.sum("n").alias("n"), F.min("x.prior").alias("prior"))
-    total = residents.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    share = (F.col("n") + PRIOR_WEIGHT * F.col("prior")) / (F.col("total") + PRIOR_WEIGHT)
-    return each.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("key", (-F.log2(share)).alias("bits"))
+    total = residents.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
+    share = (F.col("n") + PRIOR_WEIGHT * F.col("prior")) / (F.lit(total) + PRIOR_WEIGHT)
+    return each.select("key", (-F.log2(share)).alias("bits"))
 
 
 def person_links(forms: DataFrame) -> DataFrame:
@@ -331,11 +326,9 @@ def person_links(forms: DataFrame) -> DataFrame:
     once = cut(forms_once(forms, ["form_id", RESIDENTS, SAFE]).select("form_id", blank(F.col(RESIDENTS)).alias("residents"), blank(F.col(SAFE)).alias("entries")))
     # an entry without two letters is no name; one that is a resident's text as it stands needs no link
     asked = once.where(F.exists("entries", lambda e: e.rlike(r"(?U)\p{L}.*\p{L}|^\p{L}\.?$") & ~F.array_contains(F.col("residents"), e)) & (F.size("residents") > 0))
-    told = asked.withColumn("e", _entry_forms("entries", "residents")).where(F.size("e.key") > 0).withColumn("r", _resident_forms("residents"))
-    both = told.withColumn("shared", F.array_intersect("e.key", "r.key")).where(F.size("shared") > 0)
-    part = lambda x: F.filter(F.arrays_zip(f"{x}.key", f"{x}.base", f"{x}.no", f"{x}.bits"), lambda f: F.array_contains(F.col("shared"), f["key"]))
-    kept = cut(both.select("form_id", "residents", "entries", part("e").alias("e"), part("r").alias("r")))
-    side = lambda x: kept.select("form_id", F.explode(x).alias("f")).select("form_id", F.col("f.key").alias("key"), F.col("f.base").alias(f"base_{x}"), F.col("f.no").cast("int").alias(x), F.col("f.bits").alias(f"bits_{x}"))
+    kept = cut(asked.withColumn("forms", _shared_forms("residents", "entries")).where(F.size("forms") > 0))
+    each = kept.select("form_id", F.explode("forms").alias("f")).select("form_id", "f.*")
+    side = lambda x: each.where(F.col("side") == x).select("form_id", "key", F.col("base").alias(f"base_{x}"), F.col("no").alias(x), F.col("bits").alias(f"bits_{x}"))
     met = side("e").join(side("r"), ["form_id", "key"])
     people = once.select(F.explode("residents").alias("text")).groupBy("text").agg(F.count("*").alias("n"))
     rare = bounded(rarity(people), BROADCAST_ROWS)

@@ -34,8 +34,8 @@ from drillmill.session import bounded, cut
 MIN_CHARS = 200
 #: A seed or a text that more records share than this is spread over as many parts as it takes.
 PER_SALT = 500
-#: Rows of two or three numbers that may be broadcast (under 10 MB).
-BROADCAST_ROWS = 300_000
+#: Rows of two or three numbers that may be broadcast (under 5 MB).
+BROADCAST_ROWS = 100_000
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
