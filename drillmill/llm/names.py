@@ -190,45 +190,52 @@ def key_of(form: str) -> int:
 
 
 @functools.lru_cache(200_000)
-def _slip_forms(kind: str, word: str, most: int) -> tuple[tuple[str, float], ...]:
-    return tuple((f"~{kind}:{d}", -SLIP_BITS / (1 if d != word else 2)) for d in sorted(meeting_forms(word, most)))
+def _slip_forms(kind: str, word: str) -> frozenset[str]:
+    return frozenset(f"~{kind}:{d}" for d in meeting_forms(word, 2 if kind == "l" and len(word) >= 7 else 1))
 
 
-def all_forms(p: Person) -> Iterator[tuple[str, float, str]]:
-    """(form, bits, form whose rarity counts): what rewritings gives, with the slips of a word made once."""
-    for form, (bits, base) in rewritings(p, False).items():
-        yield form, bits, base
+def slip_words(p: Person) -> Iterator[tuple[str, str, float]]:
+    """(kind, word, bits) of the words of a name that may hold slips."""
     for given, _, last, cost in () if p.monogram else p.readings:
         turned = -TURNED_BITS if cost else 0.0
-        words = [("l", last, 1 if len(last) < 7 else 2)] if len(last) > 1 else []
-        words += [("g", f, 1) for f in sorted(_given(given))] if len(given) > 1 else []
-        for kind, word, most in words:
-            base = f"{kind}:{word}"
-            for form, bits in _slip_forms(kind, word, most):
-                yield form, turned + bits, base
+        if len(last) > 1:
+            yield "l", last, turned
+        for f in sorted(_given(given)) if len(given) > 1 else ():
+            yield "g", f, turned
 
 
 def shared_forms(residents: list[str], entries: list[str]) -> list[tuple[str, int, int, int, float]]:
     """(side, place in its list, key, base, bits) of the forms that names of both lists have.
 
-    Entries that are a resident's text as it stands need none. Of forms that the same names share for the same reason, as equal words do
-    in each form with letters missing, the one that says most stands for all.
+    Entries that are a resident's text as it stands need none. Of forms with letters missing that the same words share, as equal
+    words do in all their forms, the one that says most stands for all.
     """
-    sides: list[dict[str, list[tuple[int, str, float]]]] = []
-    for texts, skip in ((residents, ()), (entries, set(residents))):
-        forms: dict[str, list[tuple[int, str, float]]] = defaultdict(list)
-        for n, t in enumerate(dict.fromkeys(texts)):
+    exact: list[dict] = [defaultdict(list), defaultdict(list)]
+    words: list[dict] = [defaultdict(list), defaultdict(list)]
+    for k, (texts, skip) in enumerate(((residents, ()), (entries, set(residents)))):
+        for t, n in {t: n for n, t in reversed(list(enumerate(texts)))}.items():
             if t and t not in skip and (core := person_core(t)):
-                for form, bits, base in all_forms(Person(core)):
-                    forms[form].append((n, base, bits))
-        sides.append(forms)
+                p = Person(core)
+                for form, (bits, base) in rewritings(p, False).items():
+                    exact[k][form].append((n, base, bits))
+                for kind, word, bits in slip_words(p):
+                    words[k][kind, word].append((n, bits))
+    out = [("re"[k], n, key_of(form), key_of(base), bits) for form in exact[0].keys() & exact[1].keys() for k in (0, 1) for n, base, bits in exact[k][form]]
+    both = set().union(*(_slip_forms(*w) for w in words[0])) & set().union(*(_slip_forms(*w) for w in words[1]))
+    owners: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
+    for k in (0, 1):
+        for w in words[k]:
+            for form in _slip_forms(*w) & both:
+                owners[form][k].append(w)
+    lost = lambda form, w: -SLIP_BITS / (2 if form == f"~{w[0]}:{w[1]}" else 1)
     best: dict[tuple, tuple[float, str]] = {}
-    for form in sides[0].keys() & sides[1].keys():
-        r, e = sides[0][form], sides[1][form]
-        reason = tuple(x[:2] for x in r), tuple(x[:2] for x in e)
-        best[reason] = max(best.get(reason, (-99.0, "")), (sum(x[2] for x in r) + sum(x[2] for x in e), form))
-    first = [[texts.index(t) for t in dict.fromkeys(texts)] for texts in (residents, entries)]
-    return [(name, first[k][n], key_of(form), key_of(base), bits) for _, form in best.values() for k, name in enumerate("re") for n, base, bits in sides[k][form]]
+    for form, (r, e) in owners.items():
+        reason, says = (tuple(r), tuple(e)), (sum(lost(form, w) for w in r + e), form)
+        if reason not in best or says > best[reason]:
+            best[reason] = says
+    for reason, (_, form) in best.items():
+        out += [("re"[k], n, key_of(form), key_of(f"{w[0]}:{w[1]}"), bits + lost(form, w)) for k in (0, 1) for w in reason[k] for n, bits in words[k][w]]
+    return out
 
 
 def compatible(a: Person, b: Person) -> bool:
