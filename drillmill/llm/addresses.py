@@ -1,17 +1,22 @@
 """Same postal address written differently (problem 6): top-down hierarchy matching.
 
 A text is parsed into levels: region (post code), locality, street, number and, below them, direction, street type and unit.
-Localities are linked first: a spelling follows the nearest spelling within two edits that is more frequent, and a post code gives its
-locality where the text names none. Streets are linked among the records of one number whose localities agree. Then, for
-each number and street, the writings with most levels are the places, and a writing with missing levels inherits the
-levels of the places that it fits: of one, it is that place; of several, it stays open and says so.
+They are linked level by level, each only among the records that agree above it:
 
-Scale: texts are parsed once per distinct text; streets meet on number and on the street with up to two letters missing
-(symmetric deletes), never pairwise; what is gathered for a number and street are its distinct writings of four short
-levels, not its records. Pairs of one place are the result asked for, made by a salted self-join.
+- locality: a spelling points at the nearest spelling within two edits among those before it in (count, text), and the pointers are
+  followed to their ends; counts only order the spellings. A text without a locality takes the one that its region names.
+- street and number: spellings of one locality and number point at each other in the same way.
+- direction, type, unit: the writings with most levels of one locality, street and number are the places; a writing with missing levels inherits the
+  levels of the places that it fits: of one, it is that place; of several, it stays open and says so.
+- a writing without locality inherits candidates from all localities: the places with its number and street (else of the street nearest to it) that it
+  fits. Where no locality has any, such writings are places among themselves.
+
+Scale: texts are parsed once per distinct text. Groups are those of one locality, street and number; a number and street that very many
+localities have is only joined to, and counted with partial aggregation. Pairs of one place are the result asked for, made
+by a self-join with salts by its size.
 
 Defined results: texts without a number and a street hold no address; equal texts are no pair; forms delivered again count
-once; ambiguous writings give no pairs; empty tables give none.
+once; ambiguous writings give no pairs; names of any length meet within two edits; empty tables give none.
 """
 
 from __future__ import annotations
@@ -20,12 +25,13 @@ import re
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drillmill.llm.names import fold
-from drillmill.llm.strings import deletes, weighted_distance
+from drillmill.llm.joins import roots, self_pairs
+from drillmill.llm.strings import meeting_forms, weighted_distance
 from drillmill.session import cut
 from drillmill.sources.tables import forms_once
 
@@ -97,7 +103,9 @@ def parse_address(text: str) -> dict | None:
             out["dir"] = DIRECTIONS[w.pop(0)]
         if not w:
             return []
-        out["street"] = w.pop(0)
+        # "Old Mill Road": words up to a street type are the street, unless a part of a town's name stands between
+        end = next((k for k in range(2, min(4, len(w))) if w[k] in TYPES and not (w[k] == "st" and k + 1 < len(w)) and not any(_near_type(x) or x in TOWN_PARTS for x in w[1:k])), 1)
+        out["street"], w = "".join(w[:end]), w[end:]
         if w and (kind := _near_type(w[0])):
             out["type"] = kind
             if w.pop(0) == "st" and w:
@@ -154,7 +162,7 @@ def _parse(texts: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _slips(words: pd.Series) -> pd.Series:
-    return pd.Series([sorted(deletes(w, 1 if len(w) < 6 else 2)) if len(w) <= 40 else [w] for w in words], dtype=object)
+    return pd.Series([sorted(meeting_forms(w, 1 if len(w) < 6 else 2)) for w in words], dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -162,46 +170,31 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_distance(x, y, 2.0) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _most(a: str, b: str, sure: bool) -> Column:
+    """Edits that may lie between two spellings: two in long ones, one in short ones. Where no locality speaks for it (not sure), one of
+    two edits must be a likely slip of typing."""
+    return F.when(F.least(F.length(a), F.length(b)) >= 6, 2.0 if sure else 1.9).otherwise(1.0)
+
+
+def _nearest(nodes: DataFrame, within: list[str], word: str, sure: bool = True) -> DataFrame:
+    """within, word, root: each spelling (with its count n) and the one at the end of the spellings that it follows."""
+    forms = nodes.select(*within, word, "n", F.explode(_slips(word)).alias("form"))
+    meets = self_pairs(forms, [*within, "form"], F.struct("n_b", f"{word}_b") > F.struct("n_a", f"{word}_a"))
+    near = meets.select(*within, f"{word}_a", f"{word}_b", "n_b").distinct().withColumn("d", _distance(f"{word}_a", f"{word}_b")).where(F.col("d") <= _most(f"{word}_a", f"{word}_b", sure))
+    up = near.groupBy(*within, F.col(f"{word}_a").alias(word)).agg(F.max_by(f"{word}_b", F.struct(-F.col("d"), "n_b", f"{word}_b")).alias("up"))
+    return roots(nodes.join(up, [*within, word], "left"), within, word)
+
+
 def _town_roots(parsed: DataFrame) -> DataFrame:
-    """town, town_root: each spelling of a locality and the one at the end of the spellings, each above the last by count, then text, that it follows."""
-    towns = parsed.where("town is not null").groupBy("town").agg(F.sum("n").alias("n"))
+    """town, town_root. Parts of names such as Fort or North must be the same."""
     head, base = F.regexp_extract("town", r"^(.*) ", 1), F.regexp_extract("town", r"([^ ]*)$", 1)
-    forms = towns.select("town", "n", head.alias("head"), base.alias("base"), F.explode(_slips(base)).alias("form"))
-    a, b = (forms.select("head", "form", F.col("town").alias(f"town_{x}"), F.col("base").alias(f"base_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    meets = a.join(b, ["head", "form"]).where(F.struct("n_b", "town_b") > F.struct("n_a", "town_a")).select("town_a", "town_b", "base_a", "base_b", "n_b").distinct()
-    near = meets.withColumn("d", _distance("base_a", "base_b")).where("d <= 2.0")
-    up = near.groupBy("town_a").agg(F.max_by("town_b", F.struct(-F.col("d"), "n_b", "town_b")).alias("up")).select(F.col("town_a").alias("town"), "up")
-    roots, moved = cut(towns.join(up, "town", "left").select("town", F.coalesce("up", "town").alias("town_root"))), True
-    while moved:  # each step doubles how far a pointer reaches
-        again = roots.select(F.col("town").alias("town_root"), F.col("town_root").alias("next"))
-        further = cut(roots.join(again, "town_root").select("town", F.col("next").alias("town_root"), (F.col("next") != F.col("town_root")).alias("moved")))
-        moved = not further.where("moved").isEmpty()
-        roots = further.drop("moved")
-    return roots
-
-
-def _street_roots(parsed: DataFrame) -> DataFrame:
-    """number, street, street_root: spellings of one street at one number, where no two localities contradict."""
-    overall = parsed.groupBy("street").agg(F.sum("n").alias("all"))
-    nodes = parsed.groupBy("number", "street").agg(F.min("town").alias("t0"), F.max("town").alias("t1")).join(overall, "street")
-    forms = nodes.select("number", "street", "t0", "t1", "all", F.explode(_slips("street")).alias("form"))
-    a, b = (forms.select("number", "form", *(F.col(c).alias(f"{c}_{x}") for c in ("street", "t0", "t1", "all"))) for x in "ab")
-    higher = F.struct("all_b", "street_b") > F.struct("all_a", "street_a")
-    agree = F.col("t0_a").isNull() | F.col("t0_b").isNull() | (F.col("t0_a").between(F.col("t0_b"), F.col("t1_b"))) | (F.col("t0_b").between(F.col("t0_a"), F.col("t1_a")))
-    both = F.col("t0_a").isNotNull() & F.col("t0_b").isNotNull()
-    meets = a.join(b, ["number", "form"]).where(higher & agree).select("number", "street_a", "street_b", "all_b", both.alias("both")).distinct()
-    # two edits only where localities speak for it
-    near = meets.withColumn("d", _distance("street_a", "street_b")).where("d <= 1.0 OR both AND d <= 2.0")
-    up = near.groupBy("number", "street_a").agg(F.max_by("street_b", F.struct(-F.col("d"), "all_b", "street_b")).alias("up")).select("number", F.col("street_a").alias("street"), "up")
-    roots = cut(nodes.select("number", "street").join(up, ["number", "street"], "left").select("number", "street", F.coalesce("up", "street").alias("street_root")))
-    for _ in range(2):
-        again = roots.select("number", F.col("street").alias("street_root"), F.col("street_root").alias("next"))
-        roots = roots.join(again, ["number", "street_root"]).select("number", "street", F.col("next").alias("street_root"))
-    return roots
+    towns = parsed.where("town is not null").groupBy(head.alias("head"), base.alias("base")).agg(F.sum("n").alias("n"))
+    full = lambda c: F.trim(F.concat_ws(" ", "head", c))
+    return _nearest(towns, ["head"], "base").select(full("base").alias("town"), full("root").alias("town_root"))
 
 
 def settle(writings: list[tuple]) -> list[int]:
-    """For the writings (direction, type, unit, town; None where missing) of one number and street: the place of each, from 0,
+    """For the writings (direction, type, unit; None where missing) of one group: the place of each, from 0,
     or -1 if it fits several places."""
     size = len(writings[0])
     order = sorted(range(len(writings)), key=lambda i: (-sum(v is not None for v in writings[i]), tuple(v or "" for v in writings[i])))
@@ -244,7 +237,7 @@ def _settle(groups: pd.Series) -> pd.Series:
 
 
 def places(forms: DataFrame) -> DataFrame:
-    """form_id, text, number, street, place (-1: fits several) of each form whose address can be read."""
+    """form_id, text, town, number, street, place (-1: fits several) of each form whose address can be read."""
     once = forms_once(forms, ["form_id", ADDRESS]).where(F.col(ADDRESS).isNotNull()).withColumnRenamed(ADDRESS, "text")
     texts = once.groupBy("text").agg(F.count("*").alias("n"))
     read = cut(texts.select("text", "n", _parse("text").alias("p")).where("p.number is not null").select("text", "n", "p.*"))
@@ -259,24 +252,60 @@ def places(forms: DataFrame) -> DataFrame:
     counts = located.where("zip is not null and town is not null").groupBy("zip", "town").agg(F.sum("n").alias("n"))
     of_zip = counts.groupBy("zip").agg(F.max_by("town", F.struct("n", "town")).alias("zip_town"))
     located = cut(located.join(of_zip, "zip", "left").withColumn("town", F.coalesce("town", "zip_town")).drop("zip_town"))
-    streets = _street_roots(located)
-    levels = located.join(streets, ["number", "street"]).select("text", "number", F.col("street_root").alias("street"), F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("dir", "type", "unit", "town"))).alias("w"))
-    levels = cut(levels)
-    groups = levels.groupBy("number", "street").agg(F.collect_set("w").alias("ws"))
-    settled = groups.withColumn("p", _settle("ws")).select("number", "street", F.explode(F.arrays_zip("ws", "p")).alias("x")).select("number", "street", F.col("x.ws").alias("w"), F.col("x.p").alias("place"))
-    return once.join(levels.join(settled, ["number", "street", "w"]), "text").select("form_id", "text", "number", "street", "place")
-
-
-SALTS = 8
+    here = located.where("town is not null")
+    spelled = cut(_nearest(here.groupBy("town", "number", "street").agg(F.sum("n").alias("n")), ["town", "number"], "street"))
+    levels = [F.coalesce(c, F.lit("")).alias(c) for c in ("dir", "type", "unit")]
+    known = cut(here.join(spelled, ["town", "number", "street"]).select("text", "town", "number", F.col("root").alias("street"), *levels))
+    told = _settled(known, ["town", "number", "street"])
+    lost = cut(_without_town(located.where("town is null"), spelled, told, levels))
+    return once.join(told.select("text", "town", "number", "street", "place").unionByName(lost), "text").select("form_id", "text", "town", "number", "street", "place")
+
+
+def _settled(known: DataFrame, within: list[str]) -> DataFrame:
+    """known with the place of each text among those of its group, -1 if it fits several."""
+    w = F.concat_ws("|", "dir", "type", "unit").alias("w")
+    groups = known.groupBy(*within).agg(F.collect_set(w).alias("ws"))
+    settled = groups.withColumn("p", _settle("ws")).select(*within, F.explode(F.arrays_zip("ws", "p")).alias("x")).select(*within, F.col("x.ws").alias("w"), F.col("x.p").alias("place"))
+    return cut(known.withColumn("w", w).join(settled, [*within, "w"]).drop("w"))
+
+
+def _without_town(open_texts: DataFrame, spelled: DataFrame, told: DataFrame, levels: list) -> DataFrame:
+    """text, town, number, street, place of the texts that name no locality: -1 if places of several localities fit."""
+    texts = cut(open_texts.select("text", "n", "number", "street", *levels))
+    streets = texts.groupBy("number", "street").agg(F.sum("n").alias("n"))
+    same = spelled.select("number", "street", "town", "root")
+    exact = streets.join(same, ["number", "street"]).select("number", "street", "town", "root", F.lit(0.0).alias("d"))
+    rest = streets.join(same.select("number", "street").distinct(), ["number", "street"], "left_anti")
+    forms = rest.select("number", "street", F.explode(_slips("street")).alias("form"))
+    others = same.select("number", F.col("street").alias("other"), "town", "root", F.explode(_slips("street")).alias("form"))
+    near = forms.join(others, ["number", "form"]).select("number", "street", "other", "town", "root").distinct()
+    near = near.withColumn("d", _distance("street", "other")).where(F.col("d") <= _most("street", "other", False)).select("number", "street", "town", "root", "d")
+    streets_of = exact.unionByName(near).groupBy("number", "street", "town", "root").agg(F.min("d").alias("d"))
+    nearest = streets_of.groupBy("number", "street").agg(F.min("d").alias("d"))
+    candidates = cut(streets_of.join(nearest, ["number", "street", "d"]).select("number", "street", "town", "root"))
+    # a place has the levels of all its writings
+    full = told.where("place >= 0").groupBy("town", "number", "street", "place").agg(*(F.max(c).alias(f"{c}_p") for c in ("dir", "type", "unit"))).withColumnRenamed("street", "root")
+    met = texts.join(candidates, ["number", "street"]).join(full, ["town", "number", "root"])
+    pairs = [(F.col(c), F.col(f"{c}_p")) for c in ("dir", "type", "unit")]
+    fits, loose = F.lit(True), F.lit(True)
+    for w, p in pairs:
+        fits, loose = fits & ((w == "") | (w == p)), loose & ((w == "") | (p == "") | (w == p))
+    met = met.withColumn("fits", fits).withColumn("loose", loose).where("loose")
+    at = F.struct("town", "root", "place")
+    counted = met.groupBy("text", "number").agg(F.count_if("fits").alias("k"), F.count("*").alias("all"), F.min_by(at, F.when(F.col("fits"), F.lit(0)).otherwise(1)).alias("x"))
+    one = (F.col("k") == 1) | (F.col("k") == 0) & (F.col("all") == 1)
+    inherited = cut(counted.select("text", F.when(one, F.col("x.town")).alias("town"), "number", F.when(one, F.col("x.root")).alias("street"), F.when(one, F.col("x.place")).otherwise(-1).alias("place")))
+    alone = texts.join(inherited, "text", "left_anti")
+    own = _nearest(alone.groupBy("number", "street").agg(F.sum("n").alias("n")), ["number"], "street", False)
+    among = _settled(alone.join(own, ["number", "street"]).select("text", F.lit(None).cast("string").alias("town"), "number", F.col("root").alias("street"), "dir", "type", "unit"), ["number", "street"])
+    return inherited.unionByName(among.select("text", "town", "number", "street", "place"))
 
 
 def found(forms: DataFrame) -> DataFrame:
     """form_a, form_b: forms of one place whose texts differ."""
-    known = cut(places(forms).where("place >= 0").select("form_id", F.xxhash64("text").alias("t"), "text", F.xxhash64("number", "street", "place").alias("k")))
-    a = known.select(F.col("form_id").alias("form_a"), F.col("text").alias("text_a"), "k", F.pmod(F.xxhash64("form_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    b = known.select(F.col("form_id").alias("form_b"), F.col("text").alias("text_b"), "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = a.join(b, ["k", "salt"]).where((F.col("form_a") < F.col("form_b")) & (F.col("text_a") != F.col("text_b")))
-    return pairs.select("form_a", "form_b")
+    known = places(forms).where("place >= 0").select("form_id", F.xxhash64("text").alias("t"), F.xxhash64("text", F.lit("again")).alias("u"), F.xxhash64("town", "number", "street", "place").alias("k"))
+    pairs = self_pairs(known, ["k"], (F.col("form_id_a") < F.col("form_id_b")) & ((F.col("t_a") != F.col("t_b")) | (F.col("u_a") != F.col("u_b"))))
+    return pairs.select(F.col("form_id_a").alias("form_a"), F.col("form_id_b").alias("form_b"))
 
 
 def open_addresses(forms: DataFrame) -> DataFrame:

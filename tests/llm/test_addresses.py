@@ -28,15 +28,46 @@ def test_no_address(text):
     assert A.parse_address(text) is None
 
 
+def test_streets_of_several_words():
+    p = A.parse_address("12 Old Mill Road, Albany")
+    assert (p["street"], p["type"], p["town"]) == ("oldmill", "road", "albany")
+    p = A.parse_address("12 Elm St Albans")
+    assert (p["street"], p["town"]) == ("elm", "albans")
+
+
 def test_settle():
-    ave, road = ("avenue", "1a", "ash"), ("road", None, "ash")
-    w = [(None, *ave), (None, "avenue", None, None), (None, None, None, "ash"), (None, *road), (None, "avenue", "2b", "ash"), (None, None, "2b", None)]
+    w = [(None, "avenue", "1a"), (None, "avenue", None), (None, None, None), (None, "road", None), (None, "avenue", "2b"), (None, None, "2b")]
     got = A.settle(w)
     assert got[0] != got[4] != got[3]
     assert got[1] == -1  # two units
     assert got[2] == -1
     assert got[5] == got[4]
-    assert A.settle([(None, "avenue", None, "ash"), (None, None, "3c", None)]) == [0, 0]  # they complete each other
+    assert A.settle([(None, "avenue", None), (None, None, "3c")]) == [0, 0]  # they complete each other
+
+
+def found(make_forms, texts):
+    forms = make_forms(*({"form_id": i, A.ADDRESS: t} for i, t in enumerate(texts)))
+    return {(r.form_a, r.form_b) for r in A.found(forms).collect()}
+
+
+def test_counts_do_not_decide(make_forms):
+    for more, less in ((2, 1), (4, 1)):
+        pairs = found(make_forms, ["12 Elmgate Road, Pinewold"] * more + ["12 Elmgate Road, Pinewolt"] * less)
+        assert pairs == {(a, b) for a in range(more) for b in range(more, more + less)}
+
+
+def test_missing_localities(make_forms):
+    texts = ["12 Elmgate Road, Pinewold", "12 Elmgaet Rd", "7 Oakmont Lane, Pinewold", "7 Oakmont Lane, Ashford", "7 Oakmont", "9 Larkspur Way", "9 Larskpur Wy", "31 Quinormore Lane, Ashford", "31 quinnoromre ln"]
+    assert found(make_forms, texts) == {(0, 1), (5, 6), (7, 8)}
+    long = "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch"
+    assert found(make_forms, [f"3 {long} Road, Ashford", f"3 {long[:20]}{long[21:]} Road, Ashford"]) == {(0, 1)}
+
+
+def test_chains_of_spellings(make_forms):
+    word = "abcdefghijklmnop"
+    chain = [word + "zy" * k for k in range(6)]  # two letters more each
+    texts = [f"12 {t} Road, Ashford" for t in chain]
+    assert len(found(make_forms, texts)) == 15
 
 
 def test_found(make_forms):
