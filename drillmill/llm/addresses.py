@@ -178,7 +178,8 @@ def _most(a: str, b: str, sure: bool) -> Column:
 
 def _nearest(nodes: DataFrame, within: list[str], word: str, sure: bool = True) -> DataFrame:
     """within, word, root: each spelling (with its count n) and the one at the end of the spellings that it follows."""
-    forms = nodes.select(*within, word, "n", F.explode(_slips(word)).alias("form"))
+    several = nodes.groupBy(*within).agg(F.count("*").alias("k")).where("k > 1").drop("k")  # one alone meets none
+    forms = nodes.join(several, within, "left_semi").select(*within, word, "n", F.explode(_slips(word)).alias("form"))
     meets = self_pairs(forms, [*within, "form"], F.struct("n_b", f"{word}_b") > F.struct("n_a", f"{word}_a"))
     near = meets.select(*within, f"{word}_a", f"{word}_b", "n_b").distinct().withColumn("d", _distance(f"{word}_a", f"{word}_b")).where(F.col("d") <= _most(f"{word}_a", f"{word}_b", sure))
     up = near.groupBy(*within, F.col(f"{word}_a").alias(word)).agg(F.max_by(f"{word}_b", F.struct(-F.col("d"), "n_b", f"{word}_b")).alias("up"))
