@@ -1,12 +1,16 @@
 """Personal information inside free text (problem 3): a skip-chain conditional random field.
 
 Tokens are labelled B/I of five types or O. Each sentence is a linear chain whose weights were learned once by pii_train.py
-(maximum likelihood on generated sentences) and lie beside this file. Tokens of one document that repeat or resemble each
-other are joined by skip edges, which favour one type; loopy message passing (sum-product between the chains'
-forward-backward passes) carries what one mention shows to the others, and the labels are decoded from the result.
+(maximum likelihood on generated sentences) and lie beside this file. A form's texts are one document: words in them that
+repeat or resemble each other (short forms of a given name, equal beginnings), however far apart, are joined by skip edges, which favour one
+type; loopy message passing (sum-product between the chains' forward-backward passes) carries what one mention shows to the others, and the
+labels are decoded from the result.
 
-Scale: a map over rows; documents don't meet. Sentences are scored once per worker while they stay in its cache, documents
-without repeated tokens need no message passing, and a token has at most two skip edges (to the mentions before and after
+What a word looks like in general English is read from a public tokenizer's vocabulary (its path is a parameter): whether it is an entry with
+and without a capital, and which of them comes first.
+
+Scale: a map over rows; forms don't meet. Sentences are scored once per worker while they stay in its cache, forms
+without repeated words need no message passing, and a word has at most two skip edges (to the mentions before and after
 it), so the cost grows with the text's length only.
 
 Defined results: NULL, blank and NA texts hold nothing; texts of any length are labelled whole; a span that a text holds
@@ -25,7 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drillmill.llm.names import NICKNAMES
+from drillmill.llm.names import FORMAL, NICKNAMES
+from drillmill.llm.tokenizer import VOCABULARY, read_ranks
 from drillmill.sources.tables import forms_once
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "STREET_ADDRESS", "PERSON_NAME")
@@ -34,9 +39,9 @@ N = len(LABELS)
 TYPE_OF = np.array([0] + [1 + k // 2 for k in range(N - 1)])
 TEXTS, LIST = ("Description_of_evacuation", "Problems_noted_correction_actions_taken"), "Evacuation_Details"
 
-#: Given names besides those with short forms (fixed values).
-GIVEN = {*NICKNAMES, *(s for v in NICKNAMES.values() for s in v), *"ada amara bastien chidi elif goran hugo ingrid kofi luis mei mina nadia orin priya quentin tess ursula yolanda adam anna carlos emma jack jose lena lucy maria nina noah omar paul peter rosa sara".split()}
-STREET_WORDS = "street|str|st|avenue|avn|ave|av|road|rd|lane|ln|la|drive|drv|dr|court|crt|ct|place|pl|terrace|terr|ter|boulevard|boul|blvd|way|wy|circle|cir|square|sq"
+#: Given names that are common in the United States, besides those with short forms (fixed values).
+COMMON_GIVEN = {*NICKNAMES, *(s for v in NICKNAMES.values() for s in v), *"aaron adam alan albert amanda amber amy andrea angela anna arthur ashley austin brandon brenda brian bruce bryan carl carlos carol carolyn christina christine claire craig crystal deshawn diane dennis dylan earl emily emma eric erica ethan evelyn frances gary george gloria grace hannah heather helen ian irene isaac jane janet janice jason jean jeffrey jeremy jerome jesus joan jordan jose joyce juan julia julie justin karen keith kelly kevin kyle laura lauren linda lisa logan lori louis lucas lucy luis madison maria marie marilyn mark martha mary megan michelle miguel monica nancy natalie nicole noah olivia patrick paul paula peter rachel ralph randy roger rosa rose roy russell ruth ryan samantha sandra sara scott sean sharon shirley sofia sophia stephanie tara teresa terry tiffany todd tracy tyler vanessa vera wanda wayne wendy".split()}
+STREET_WORDS = "street|str|st|avenue|avn|ave|av|road|rd|lane|ln|la|drive|drv|dr|court|crt|ct|place|pl|terrace|terr|ter|boulevard|boul|blvd|way|wy|circle|cir|square|sq|parkway|pkwy|trail|trl|crescent|cres|highway|hwy"
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _ABBREVIATIONS = {"mr", "mrs", "ms", "mx", "dr", "no", "sec", "soc", "ext", "tel", "apt", "ave", "av", "st", "str", "rd", "ln", "drv", "ct", "pl", "terr", "ter", "blvd", "ph", "sr", "rev", "lic", "unit", "num", "co"}
@@ -45,8 +50,8 @@ _LOOKS = {
     "e": re.compile(r"[\w.+-]+\s?(?:@|\[at\]|\(at\))\s?[\w-]+(?:(?:\.|\s?\[dot\]\s?|\sdot\s)[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+|[\w.+-]+ at [\w-]+(?:\.[\w-]+)+", re.I),
     "p": re.compile(r"(?<![\w-])(?:\+?1[\s.-]?)?(?:\(\d{3}\)\s?|\d{3}[\s.-]?)?\d{3}[\s.-]?\d{4}(?!\w)(?:,?\s?(?:ext\.?|x)\s?\d{1,5})?", re.I),
     "s": re.compile(r"(?<![\w-])\d{3}[- ]?\d{2}[- ]?\d{4}(?![\w-])"),
-    "i": re.compile(r"(?<![\w-])(?:[A-Z]{2}\d{5}[A-Z]|[A-Z]-\d{6}|\d{3} \d{3} \d{3}|0\d{6})(?![\w-])"),
-    "l": re.compile(r"(?:\bssn|\bsoc\. sec\. no\.|\bsocial(?: security)?(?: no\.)?|\btabs(?: id)?|\bcin|\bmedicaid(?: no\.)?|\b(?:driver )?license(?: no\.)?|\bdl|\bclient no\.|\bresident id|\bcase id|\bpatient id|\bmrn|\bpassport(?: no\.)?)\s?[:#]?\s*(?=[\w-]*\d)", re.I),
+    "i": re.compile(r"(?<![\w-])(?:[A-Z]{1,3}-?\d{4,}[A-Z]?|\d{4,}[A-Z]|\d{3,4}(?:[ -]\d{3,4}){1,3}|\d{5,})(?![\w-])"),
+    "l": re.compile(r"(?:\b(?:ssn|social(?: security)?|soc\. sec\.|passport|(?:driver'?s? )?licen[cs]e|dl|medicaid|medicare|member|patient|client|resident|case|employee|student|insurance|tax|mrn|tabs|cin)\b)(?: ?(?:id|no|number|num|nr|card)\b\.?| ?#)?\s?[:#]?\s*(?=[\w-]*\d)", re.I),
     "a": re.compile(rf"(?<![\w-])\d{{1,5}} (?:[NSEW]\.? )?(?:[^\W\d_]+ ){{1,3}}(?:{STREET_WORDS})\b\.?(?:,? (?:apt|apartment|unit|ste|suite|#)\.? ?#?\d+ ?-?[A-Z]?\b|,? ?#\d+[A-Z]?\b)?", re.I),
 }
 
@@ -75,13 +80,35 @@ def shape(w: str) -> str:
     return "XX" if w.isupper() else "Xx" if w[0].isupper() else "xx"
 
 
-def features(sentence: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
-    """Token offsets and the features of each token."""
+def read_lexicon(path: str = VOCABULARY) -> dict[str, str]:
+    """Word in lower case -> T or l if the vocabulary has it only with or without a capital, t or L if both, the capital or the other first."""
+    ranks: dict[str, dict[bool, int]] = {}
+    for piece, rank in read_ranks(Path(path).read_bytes()).items():
+        word = piece.decode("utf-8", "replace")[1:] if piece[:1] == b" " else ""
+        if len(word) > 1 and word.isalpha() and (word.islower() or word.istitle()):
+            ranks.setdefault(word.lower(), {})[word.istitle()] = rank
+    return {w: ("t" if r[True] < r[False] else "L") if len(r) == 2 else "T" if True in r else "l" for w, r in ranks.items()}
+
+
+def word_kind(word: str, lexicon: dict[str, str]) -> str:
+    """The lexicon's letter of a lower-case word; + for one made of two common words, e for a common word with an ending, ? for others."""
+    if (got := lexicon.get(word)) is not None:
+        return got
+    common = lambda w: lexicon.get(w, "T") in "lL"
+    if any(word.endswith(e) and len(word) - len(e) > 3 and (common(word[: -len(e)]) or common(word[: -len(e)] + "e")) for e in ("s", "er", "ers", "ing", "ed", "or", "ly")):
+        return "e"
+    return "+" if any(common(word[:k]) and common(word[k:]) for k in range(3, len(word) - 2)) else "?"
+
+
+def features(sentence: str, lexicon: dict[str, str]) -> tuple[list[tuple[int, int]], list[list[str]]]:
+    """Token offsets and the features of each token. Words that the lexicon doesn't know have no identity of their own."""
     spans = [m.span() for m in _TOKEN.finditer(sentence)]
     words = [sentence[a:b] for a, b in spans]
-    low = [w.lower() if not w.isdigit() else f"<{shape(w)}>" for w in words]
+    lower = [w.lower() for w in words]
+    kind = [word_kind(w, lexicon) if len(w) > 1 and w.isalpha() else "." for w in lower]
+    low = [f"<{shape(w)}>" if w.isdigit() else f"<{k}>" if k in "?+e" else w for w, k in zip(lower, kind, strict=True)]
     shapes = [shape(w) for w in words]
-    given = [x in GIVEN for x in low]
+    given = [x in COMMON_GIVEN for x in lower]
     looks: list[list[str]] = [[] for _ in words]
     for name, pattern in _LOOKS.items():
         for m in pattern.finditer(sentence):
@@ -102,8 +129,12 @@ def features(sentence: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
         p1, p2 = (low[k - 1] if k else "^"), (low[k - 2] if k > 1 else "^")
         n1, n2 = (low[k + 1] if k + 1 < n else "$"), (low[k + 2] if k + 2 < n else "$")
         ps, ns = (shapes[k - 1] if k else "^"), (shapes[k + 1] if k + 1 < n else "$")
+        pk, nk = (kind[k - 1] if k else "^"), (kind[k + 1] if k + 1 < n else "$")
         g = ("G" if given[k] else "g") + ("G" if k and given[k - 1] else "g") + ("G" if k + 1 < n and given[k + 1] else "g")
-        f = ["b", f"w{low[k]}", f"s{shapes[k]}", f"p{p1}", f"n{n1}", f"pp{p2}|{p1}", f"nn{n1}|{n2}", f"t{ps}|{shapes[k]}|{ns}", f"g{g}|{shapes[k]}", f"x{low[k][-3:]}", f"c{caps}{shapes[k]}{ps}", f"1{'1' if k == 0 else '0'}{shapes[k]}{given[k]:d}"]
+        f = ["b", f"w{low[k]}", f"s{shapes[k]}", f"p{p1}", f"n{n1}", f"pp{p2}|{p1}", f"nn{n1}|{n2}", f"t{ps}|{shapes[k]}|{ns}", f"g{g}|{shapes[k]}", f"c{caps}{shapes[k]}{ps}", f"1{'1' if k == 0 else '0'}{shapes[k]}{given[k]:d}"]
+        f += [f"k{kind[k]}{shapes[k]}", f"kk{pk}{ps}|{kind[k]}{shapes[k]}|{nk}{ns}", f"kc{caps}{kind[k]}{shapes[k]}", f"kp{kind[k]}{shapes[k]}|{p1}", f"kn{kind[k]}{shapes[k]}|{n1}"]
+        if kind[k] in "?+eT":
+            f += [f"x{lower[k][-2:]}", f"x{lower[k][-3:]}|{shapes[k]}"]
         f += looks[k]
         if looks[k]:
             f.append("R" + ".".join(looks[k]))
@@ -190,10 +221,10 @@ CACHE = 100_000
 
 
 class Tagger:
-    def __init__(self, crf: Crf):
-        self.crf = crf
+    def __init__(self, crf: Crf, lexicon: dict[str, str], skip: float = SKIP, cache: int = CACHE):
+        self.crf, self.lexicon, self.cache = crf, lexicon, cache
         self.seen: dict[str, tuple[list[tuple[int, int]], np.ndarray, np.ndarray]] = {}
-        agree = np.where(TYPE_OF[:, None] == TYPE_OF[None, :], np.exp(SKIP), 1.0)
+        agree = np.where(TYPE_OF[:, None] == TYPE_OF[None, :], np.exp(skip), 1.0)
         agree[0, :] = agree[:, 0] = 1.0  # O says nothing about the other mention
         self.agree = agree / agree.mean()
 
@@ -202,33 +233,40 @@ class Tagger:
         sentence = _NUMBER.sub(_mask, sentence)
         got = self.seen.get(sentence)
         if got is None:
-            spans, feats = features(sentence)
+            spans, feats = features(sentence, self.lexicon)
             u = self.crf.unary(feats)
             got = (spans, u, self.crf.viterbi(u) if len(u) else np.zeros(0, np.int8))
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            if len(sentence) < 400:
+            if self.cache and len(sentence) < 400:
+                if len(self.seen) >= self.cache:
+                    self.seen.clear()
                 self.seen[sentence] = got
         return got
 
-    def label(self, text: str) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-        """Absolute token offsets of the sentences, one after the other, and each sentence's labels."""
-        parts = [(at, *self._score(s)) for at, s in sentences(text)]
+    def _key(self, word: str) -> str | None:
+        """What mentions of one name have in common; None for words that are no name by themselves."""
+        w = word.lower()
+        if len(w) < 3 or not w.isalpha() or w not in COMMON_GIVEN and (self.lexicon.get(w, "?") in "lL" or word.islower() and w in self.lexicon):
+            return None
+        return min(FORMAL[w]) if w in FORMAL else w[:5]
+
+    def label(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int]], np.ndarray]]:
+        """(number of the text, token offsets in it, labels) of each sentence of a document's texts."""
+        parts = [(no, [(at + a, at + b) for a, b in spans], u, y) for no, text in enumerate(texts) for at, s in sentences(text) for spans, u, y in (self._score(s),)]
         labels = [p[3] for p in parts]
-        # skip edges: each word that may be a name, to its next mention or a resembling one (same five letters)
         last: dict[str, tuple[int, int]] = {}
         edges = []
-        for i, (at, spans, _, _) in enumerate(parts):
+        for i, (no, spans, _, _) in enumerate(parts):
             for k, (a, b) in enumerate(spans):
-                if b - a >= 3:
-                    w = text[at + a : at + b]
-                    if w.isalpha() and (w[0].isupper() or w.lower() in GIVEN):
-                        key = w.lower()[:5]
-                        if key in last:
-                            edges.append((last[key], (i, k)))
-                        last[key] = (i, k)
-        if not edges or all(not labels[i].any() for pair in edges for i, _ in pair):
-            return [(at + a, at + b) for at, spans, _, _ in parts for a, b in spans], labels
+                if b - a >= 3 and (key := self._key(texts[no][a:b])):
+                    if key in last:
+                        edges.append((last[key], (i, k)))
+                    last[key] = (i, k)
+        if edges and any(labels[i].any() for pair in edges for i, _ in pair):
+            self._pass(parts, labels, edges)
+        return [(no, spans, y) for (no, spans, _, _), y in zip(parts, labels, strict=True)]
+
+    def _pass(self, parts: list, labels: list[np.ndarray], edges: list) -> None:
+        """Loopy belief propagation over the skip edges; relabels the sentences they touch."""
         touched = sorted({i for pair in edges for i, _ in pair})
         extra = {i: np.zeros_like(parts[i][2]) for i in touched}
         sent: dict[tuple, np.ndarray] = {}
@@ -246,31 +284,28 @@ class Tagger:
                 extra[dst[0]][dst[1]] += message
         for i in touched:
             labels[i] = self.crf.viterbi(parts[i][2] + extra[i])
-        return [(at + a, at + b) for at, spans, _, _ in parts for a, b in spans], labels
 
-    def find(self, text: str | None) -> list[tuple[str, int, int]]:
-        """(type, start, end) of every span."""
-        if not text or not text.strip() or text.strip().upper() == "NA":
-            return []
-        offsets, labels = self.label(text)
-        out: list[tuple[str, int, int]] = []
-        k = 0
-        for row in labels:
+    def find_all(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
+        """(type, start, end) of every span of each text of a document."""
+        held = [t if t and t.strip() and t.strip().upper() != "NA" else "" for t in texts]
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        for no, offsets, row in self.label(held):
             prev = 0
-            for y in row:
-                a, b = offsets[k]
+            for (a, b), y in zip(offsets, row, strict=True):
                 kind = int(TYPE_OF[y])
                 if kind:
                     if y % 2 == 1 or not prev or TYPE_OF[prev] != kind:  # B, or an I that follows something else
-                        out.append((TYPES[kind - 1], a, b))
+                        out[no].append((TYPES[kind - 1], a, b))
                     else:
-                        out[-1] = (out[-1][0], out[-1][1], b)
+                        out[no][-1] = (out[no][-1][0], out[no][-1][1], b)
                 prev = int(y)
-                k += 1
-        return [x for x in (_trim(text, *s) for s in out) if x]
+        return [[x for x in (_trim(text, *s) for s in spans) if x] for text, spans in zip(held, out, strict=True)]
+
+    def find(self, text: str | None) -> list[tuple[str, int, int]]:
+        return self.find_all([text])[0]
 
 
-_TITLES = re.compile(r"^(?:mr|mrs|ms|mx|miss|dr|nurse|supervisor)\b\.?\s+", re.I)
+_TITLES = re.compile(r"^(?:mr|mrs|ms|mx|miss|dr|prof|officer|nurse|supervisor)\b\.?\s+", re.I)
 
 
 def _trim(text: str, kind: str, a: int, b: int) -> tuple[str, int, int] | None:
@@ -302,56 +337,63 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-_tagger: list[Tagger] = []
+_taggers: dict[tuple, Tagger] = {}
 
 
-def tagger(raw: dict | None = None) -> Tagger:
-    if not _tagger:
-        _tagger.append(Tagger(Crf.unpack(raw) if raw else Crf.load()))
-    return _tagger[0]
+def tagger(shared, skip: float = SKIP, cache: int = CACHE) -> Tagger:
+    """The worker's tagger, made once from the broadcast weights and lexicon."""
+    if (skip, cache) not in _taggers:
+        raw, lexicon = shared.value
+        _taggers[skip, cache] = Tagger(Crf.unpack(raw), lexicon, skip, cache)
+    return _taggers[skip, cache]
 
 
-def _weights(spark):
-    """The weights (fixed, under 1 MB) go to the workers as a broadcast: a zipped package has no files beside its modules."""
-    return spark.sparkContext.broadcast(json.loads(Path(__file__).with_name("pii_weights.json").read_text()))
+def _shared(spark, path: str):
+    """Weights and lexicon (fixed, under 2 MB) go to the workers as a broadcast: a zipped package has no files beside its modules."""
+    return spark.sparkContext.broadcast((json.loads(Path(__file__).with_name("pii_weights.json").read_text()), read_lexicon(path)))
 
 
 def _texts(forms: DataFrame) -> DataFrame:
     return forms_once(forms, ["form_id", *TEXTS, LIST])
 
 
-def found(forms: DataFrame) -> DataFrame:
+def _form(row: tuple) -> list[tuple[str, int, str | None]]:
+    *texts, items = row
+    return [(f, 0, x) for f, x in zip(TEXTS, texts, strict=True)] + [(LIST, k, x) for k, x in enumerate(items if items is not None else (), 1)]
+
+
+def found(forms: DataFrame, path: str = VOCABULARY, skip: float = SKIP, cache: int = CACHE) -> DataFrame:
     """form_id, field, item_no, pii_type, span."""
-    raw = _weights(forms.sparkSession)
+    shared = _shared(forms.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tagger(raw.value)
+        t = tagger(shared, skip, cache)
         for batch in batches:
             rows = []
-            for form_id, *texts, items in zip(batch["form_id"], *(batch[f] for f in TEXTS), batch[LIST], strict=True):
-                parts = [(f, 0, x) for f, x in zip(TEXTS, texts, strict=True)] + [(LIST, k, x) for k, x in enumerate(items if items is not None else (), 1)]
-                for field, no, x in parts:
-                    for kind, span in dict.fromkeys((kind, x[a:b]) for kind, a, b in t.find(x)):
-                        rows.append((form_id, field, no, kind, span))
+            for form_id, *row in zip(batch["form_id"], *(batch[f] for f in (*TEXTS, LIST)), strict=True):
+                parts = _form(row)
+                for (field, no, x), spans in zip(parts, t.find_all([x for _, _, x in parts]), strict=True):
+                    rows += [(form_id, field, no, kind, span) for kind, span in dict.fromkeys((kind, x[a:b]) for kind, a, b in spans)]
             yield pd.DataFrame(rows, columns=["form_id", "field", "item_no", "pii_type", "span"]).astype({"form_id": "int64", "item_no": "int32"})
 
     return _texts(forms).mapInPandas(run, "form_id long, field string, item_no int, pii_type string, span string")
 
 
-def redacted(forms: DataFrame) -> DataFrame:
+def redacted(forms: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """form_id and the three fields with typed placeholders in place of personal information."""
-    raw = _weights(forms.sparkSession)
-
-    def clean(t: Tagger, x: str | None) -> str | None:
-        return x if not x else redact(x, t.find(x))
+    shared = _shared(forms.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tagger(raw.value)
+        t = tagger(shared)
         for batch in batches:
             out = batch.copy()
-            for f in TEXTS:
-                out[f] = [clean(t, x) for x in batch[f]]
-            out[LIST] = [None if x is None else [clean(t, y) for y in x] for x in batch[LIST]]
+            cleaned = []
+            for row in zip(*(batch[f] for f in (*TEXTS, LIST)), strict=True):
+                texts = [x for _, _, x in _form(row)]
+                cleaned.append([redact(x, spans) if x else x for x, spans in zip(texts, t.find_all(texts), strict=True)])
+            for k, f in enumerate(TEXTS):
+                out[f] = pd.Series([c[k] for c in cleaned], dtype=object, index=batch.index)
+            out[LIST] = pd.Series([None if x is None else c[len(TEXTS) :] for x, c in zip(batch[LIST], cleaned, strict=True)], dtype=object, index=batch.index)
             yield out
 
     fields = ", ".join(f"{f} string" for f in TEXTS)

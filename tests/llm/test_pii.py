@@ -7,7 +7,7 @@ from drillmill.llm import pii, pii_train
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.Tagger(pii.Crf.load())
+    return pii.Tagger(pii.Crf.load(), pii.read_lexicon())
 
 
 CASES = [
@@ -36,14 +36,31 @@ def test_redact(tagger):
     assert pii.redact(t, tagger.find(t)) == "Left message, [PHONE]. Signed: [PERSON_NAME]."
 
 
-def test_held_out_sentences(tagger):
-    right = total = 0
-    for text, spans in pii_train.sample(400, 99):
-        got = {(k, text[a:b]) for k, a, b in tagger.find(text)}
-        want = {(k, text[a:b]) for k, a, b in spans}
-        right += len(got & want)
-        total += len(got | want)
-    assert right / total > 0.97
+PLAIN = [
+    ("Deshawn Carter called Brian about the bus.", {"Deshawn Carter", "Brian"}),
+    ("Spoke with Liam O'Connor at noon.", {"Liam O'Connor"}),
+    ("Her passport X1234567 is in the safe.", {"X1234567"}),
+    ("Ambulance came at 4:10 and left again.", set()),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), PLAIN)
+def test_plain_sentences(tagger, text, want):
+    assert {text[a:b] for _, a, b in tagger.find(text)} == want
+
+
+def test_held_out_patterns(tagger):
+    assert not set(pii_train.split_patterns(pii_train.POSITIVE, True)) & set(pii_train.split_patterns(pii_train.POSITIVE, False))
+    for kind, (right, found, there) in pii_train.score(tagger, pii_train.sample(600, 99, held_out=True)).items():
+        assert right / there >= 0.9, kind
+        assert right / found >= 0.85, kind
+
+
+def test_training_learns():
+    lexicon = pii.read_lexicon()
+    crf = pii_train.train([pii_train.labelled(*x, lexicon) for x in pii_train.sample(300, 5)])
+    _, found, there = pii_train.score(pii.Tagger(crf, lexicon), pii_train.sample(100, 6))["EMAIL"]
+    assert 0 < found < 2 * there
 
 
 def test_long_text_is_labelled_whole(tagger):
@@ -52,21 +69,24 @@ def test_long_text_is_labelled_whole(tagger):
 
 
 def test_skip_edges_carry_labels():
-    """A doubtful mention follows a sure one of the same word in another sentence."""
-    sure, doubtful = np.zeros(pii.N), np.zeros(pii.N)
-    name = pii.LABELS.index("B-PERSON_NAME")
-    sure[name], doubtful[name], doubtful[0] = 6.0, 0.0, 0.4
-    crf = pii.Crf({"wzorbek": doubtful, "pmr": sure}, np.zeros((pii.N, pii.N)))
-    crf.weights["b"] = np.where(np.arange(pii.N) == 0, 1.0, 0.0)
-    crf.weights["wzorbek"] = np.where(np.arange(pii.N) == name, 1.2, 0.0)
-    t = pii.Tagger(crf)
-    alone = [x for x in t.find("Zorbek left.")]
-    both = [x for x in t.find("Mr Zorbek stayed.\nZorbek left.")]
-    assert len(both) >= 2 > len([x for x in alone if x[0] != "PERSON_NAME"])
+    """A doubtful mention follows a sure one of the same name in another text of the form; without skip edges it doesn't."""
+    n, name = pii.N, pii.LABELS.index("B-PERSON_NAME")
+    bias, sure, doubtful = np.zeros(n), np.zeros(n), np.zeros(n)
+    bias[0], sure[name], doubtful[name] = 1.0, 8.0, 0.8
+    crf = pii.Crf({"b": bias, "w<?>": doubtful, "pmr": sure}, np.zeros((n, n)))
+    texts = ["met mr Zorbekk", "Zorbekk left"]
+    names = lambda skip: [[t[a:b] for _, a, b in spans] for t, spans in zip(texts, pii.Tagger(crf, {"mr": "l", "met": "l", "left": "l"}, skip).find_all(texts), strict=True)]
+    assert names(0.0)[1] == []
+    assert names(pii.SKIP)[1] == ["Zorbekk"]
+
+
+def test_short_forms_are_one_mention(tagger):
+    assert tagger._key("Gerry") == tagger._key("Gerald")
+    assert tagger._key("Table") is None and tagger._key("and") is None
 
 
 def test_marginals_sum_to_one(tagger):
-    _, feats = pii.features("Mr. Marard held the door.")
+    _, feats = pii.features("Mr. Marard held the door.", tagger.lexicon)
     assert np.allclose(tagger.crf.marginals(tagger.crf.unary(feats)).sum(1), 1.0)
 
 
@@ -84,4 +104,4 @@ def test_forms(make_forms):
 @pytest.mark.parametrize("number", ["+15185550123", "15185550123", "1518-555-0123", "1518555-0123", "15550123", "1 518 555 0123", "518-555-0123", "0123456"])
 def test_masked_digits_keep_features(number):
     text = f"call {number} now"
-    assert pii.features(pii._NUMBER.sub(pii._mask, text)) == pii.features(text)
+    assert pii.features(pii._NUMBER.sub(pii._mask, text), {}) == pii.features(text, {})
