@@ -1,6 +1,6 @@
 """Mapping of typed answers to a reference list (problem 2).
 
-The reference list and known other names of its entries are put into a symmetric-delete dictionary, small and of checked
+The reference list and the other names of its entries that an input table gives are put into a symmetric-delete dictionary, small and of checked
 size, that every worker builds once. An answer is tidied (case, marks, words that only decorate it) and looked up; entries
 within the edits that their length allows are ranked by weighted Damerau-Levenshtein distance and then by how often the
 entry occurs as such in the data. If no entry is near the whole answer, its words are corrected one by one against the
@@ -9,15 +9,17 @@ words of the dictionary. What is near nothing is reported as unmatched (canonica
 Scale: a map over the rows with a cache of answers per worker; nothing is shuffled but the de-duplication of forms, and the
 reference frequencies, which are counts of exact hits: at most one row for each dictionary entry.
 
-Defined results: NULL, blank or NA answers (any case) give no row; very long answers are looked up like others and are near
-nothing; ties go to the more frequent entry, then to the smaller id; forms delivered again count once; no reference list
+Defined results: NULL, blank or NA answers (any case) give no row; answers of any length are looked up whole;
+what is longer than the longest entry and its edits is near none; ties go to the more frequent entry, then to the smaller id; forms delivered again count once; no reference list
 leaves all answers unmatched.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,31 +32,13 @@ FIELDS = ("Weather_Conditions", "Part_of_Day", "Centrally_Monitored_Fire_Alarm_S
 MAX_ENTRIES = 20_000
 CACHE = 200_000
 
-#: Other names of entries, by the entry in lower case (fixed values).
-ALIASES = {
-    "clear": ("sunny", "sun", "fair", "clear sky", "clear skies", "bright"),
-    "partly cloudy": ("part cloudy", "ptly cloudy", "p cloudy", "partly cldy", "some clouds"),
-    "overcast": ("cloudy", "cloudy all day", "fully overcast", "grey skies", "gray skies", "ovrcst", "ovrcast", "o'cast"),
-    "rainy": ("rain", "raining", "light rain", "pouring rain", "drizzle", "wet / rain", "showers", "wet"),
-    "thunderstorm": ("thunder storm", "t-storm", "tstorm", "thndrstrm", "thunder and lightning", "thunder", "lightning"),
-    "snow": ("snowy", "snowing", "light snow", "heavy snow", "snow on ground"),
-    "sleet or hail": ("sleet", "hail", "sleeting", "icy sleet", "sleet/hail"),
-    "fog": ("foggy", "dense fog", "heavy fog", "fog / mist", "mist"),
-    "windy": ("wind", "high winds", "very windy", "gusty", "breezy"),
-    "hot and humid": ("hot & humid", "hot/humid", "hot n humid", "humid, hot", "muggy", "humid"),
-    "bitter cold": ("very cold", "v. cold", "frigid", "freezing", "below freezing"),
-    "mild": ("mild temps", "mild out", "temperate", "pleasant, mild", "pleasant"),
-    "early morning": ("early morn", "early a.m.", "dawn", "before breakfast"),
-    "morning": ("morn", "mrng", "a.m.", "am", "mid-morning", "in the morning"),
-    "midday": ("mid day", "noon", "noontime", "at lunch", "lunchtime"),
-    "afternoon": ("after noon", "aft", "aftn", "late afternoon", "p.m. (afternoon)", "pm"),
-    "evening": ("eve", "evng", "early evening", "after dinner", "evening shift"),
-    "overnight": ("overnite", "o/n", "night", "night shift", "middle of the night", "sleep hours"),
-    "yes": ("y", "yep", "sí", "si", "✓", "yes, monitored", "monitored", "yes - central station", "central station yes", "yes - observed", "observed", "was observed", "yes full drill", "yes, by supervisor"),
-    "no": ("n", "nope", "none", "not monitored", "unmonitored", "none, no station", "no central station", "not observed", "unobserved", "no observer", "nobody observed"),
-    "local alarm only": ("local", "local only", "local alarm", "local bell", "in-house alarm only"),
-    "partly observed": ("partly", "partial", "partially", "part of it", "in part", "first half only"),
-}
+#: The default table of other names, an input like the reference list itself: entry in lower case -> other names.
+ALIASES = Path(__file__).with_name("canonical_aliases.json")
+
+
+def read_aliases(path: Path = ALIASES) -> dict[str, list[str]]:
+    return json.loads(path.read_text(encoding="utf-8"))
+
 
 #: Words that say nothing about the answer (fixed values).
 _FRONT = re.compile(r"^(?:weather|it was|quite|mostly|in the|during|the)\s+")
@@ -79,10 +63,10 @@ def undecorated(t: str) -> str:
 class Matcher:
     """Reference list of one field."""
 
-    def __init__(self, entries: Sequence[tuple[int, str]], frequency: dict[str, int]):
+    def __init__(self, entries: Sequence[tuple[int, str]], frequency: dict[str, int], aliases: Mapping[str, Sequence[str]] | None = None):
         self.ids: dict[str, int] = {}
         for cid, name in sorted(entries):
-            for n in (name, *ALIASES.get(name.strip().lower(), ())):
+            for n in (name, *(aliases or {}).get(name.strip().lower(), ())):
                 self.ids.setdefault(tidy(n), cid)
         self.ids.pop("", None)
         self.frequency = frequency
@@ -101,8 +85,6 @@ class Matcher:
             return self.ids[hit]
         best: tuple[float, int, int] | None = None
         for v in self.variants(text):
-            if len(v) > 60:
-                continue  # longer than any entry and its edits
             for name, d in self.index.near(v):
                 rank = (round(d, 6), -self.frequency.get(name, 0), self.ids[name])
                 if best is None or rank < best:
@@ -110,7 +92,7 @@ class Matcher:
         if best is None:
             for v in self.variants(text):
                 words = v.split()
-                if len(words) < 2 or len(v) > 120:
+                if len(words) < 2:
                     continue
                 fixed, cost = [], 0.0
                 for w in words:
@@ -138,12 +120,12 @@ def _entries(canonical: DataFrame) -> dict[str, list[tuple[int, str]]]:
     return out
 
 
-def _lookup(entries, frequency, exact: bool):
+def _lookup(entries, frequency, aliases, exact: bool):
     made: dict = {}
 
     def run(fields: pd.Series, texts: pd.Series) -> pd.Series:
         if "m" not in made:
-            made["m"] = {f: Matcher(e, frequency.get(f, {})) for f, e in entries.items()}
+            made["m"] = {f: Matcher(e, frequency.get(f, {}), aliases) for f, e in entries.items()}
             made["seen"] = {}
         matchers, seen, out = made["m"], made["seen"], []
         for f, t in zip(fields, texts, strict=True):
@@ -166,16 +148,19 @@ def answers(forms: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     return long.where(F.col("answer").isNotNull() & ~F.upper(F.regexp_replace("answer", r"(?U)^\s+|\s+$", "")).isin("", "NA"))
 
 
-def map_answers(forms: DataFrame, canonical: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """form_id, field, answer, canonical_id."""
+def map_answers(forms: DataFrame, canonical: DataFrame, fields: Sequence[str] = FIELDS, aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """form_id, field, answer, canonical_id. aliases: other names of entries; {} for none, by default those of ALIASES."""
     entries = _entries(canonical)
+    aliases = read_aliases() if aliases is None else dict(aliases)
+    if sum(map(len, aliases.values())) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} other names aren't broadcast")
     rows = answers(forms, fields)
-    exact: Column = _lookup(entries, {}, True)("field", "answer")
+    exact: Column = _lookup(entries, {}, aliases, True)("field", "answer")
     frequency: dict[str, dict[str, int]] = {}
     # exact hits only: at most one row for each dictionary entry
     for r in rows.select("field", exact.alias("name")).where(F.col("name").isNotNull()).groupBy("field", "name").count().collect():
         frequency.setdefault(r["field"], {})[r["name"]] = r["count"]
-    return rows.withColumn("canonical_id", _lookup(entries, frequency, False)("field", "answer"))
+    return rows.withColumn("canonical_id", _lookup(entries, frequency, aliases, False)("field", "answer"))
 
 
 def found(forms: DataFrame, canonical: DataFrame) -> DataFrame:

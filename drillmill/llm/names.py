@@ -212,7 +212,9 @@ def shared_forms(residents: list[str], entries: list[str]) -> list[tuple[str, in
     """
     exact: list[dict] = [defaultdict(list), defaultdict(list)]
     words: list[dict] = [defaultdict(list), defaultdict(list)]
-    for k, (texts, skip) in enumerate(((residents, ()), (entries, set(residents)))):
+    for k, texts, skip in ((1, entries, set(residents)), (0, residents, ())):
+        if k == 0 and not exact[1]:
+            return []
         for t, n in {t: n for n, t in reversed(list(enumerate(texts)))}.items():
             if t and t not in skip and (core := person_core(t)):
                 p = Person(core)

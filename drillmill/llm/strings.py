@@ -98,6 +98,7 @@ class DeleteIndex:
 
     def __init__(self, words: Iterable[str]):
         self.words = sorted(set(words))
+        self.longest = max(map(len, self.words), default=0)
         self.at: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(self.words):
             for d in deletes(w, allowed(len(w))):
@@ -106,6 +107,8 @@ class DeleteIndex:
     def near(self, word: str) -> list[tuple[str, float]]:
         """(entry, weighted distance) of every entry within the edits its own length allows."""
         seen: set[int] = set()
+        if len(word) > self.longest + 2:
+            return []  # further from every entry than any edits allowed
         for d in deletes(word, min(2, allowed(len(word) + 1))):
             seen.update(self.at.get(d, ()))
         out = []

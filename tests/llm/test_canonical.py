@@ -30,7 +30,19 @@ def test_weather(make_forms, reference):
 )
 def test_other_fields(reference, field, text, want):
     entries = [(r.canonical_id, r.canonical) for r in reference.collect() if r.field == field]
-    assert dict(entries).get(canonical.Matcher(entries, {}).find(text)) == want
+    assert dict(entries).get(canonical.Matcher(entries, {}, canonical.read_aliases()).find(text)) == want
+
+
+def test_long_entries_and_answers():
+    long = "automatic sprinkler system with remote supervision by the county fire control centre"
+    assert canonical.Matcher([(1, long)], {}).find(long.replace("sprinkler", "sprinklr")) == 1
+    assert canonical.Matcher([(1, "clear")], {}).find("clear " * 50_000) == 0
+    assert canonical.Matcher([(1, "clear")], {}).find("x" * 1_000_000) == 0
+
+
+def test_aliases_are_an_input():
+    assert canonical.Matcher([(1, "Clear")], {}).find("cloudless") == 0
+    assert canonical.Matcher([(1, "Clear")], {}, {"clear": ["cloudless"]}).find("cloudlss") == 1
 
 
 def test_frequency_breaks_ties():
