@@ -16,6 +16,7 @@ def main(argv: list[str] | None = None) -> int:
     run = sub.add_parser("run", help="a folder of forms to CSV rows")
     run.add_argument("--input")
     run.add_argument("--output")
+    run.add_argument("--single-file", action="store_true", help="gather the rows into one file, in one task")
     run.add_argument("--verbose", action="store_true")
     ev = sub.add_parser("eval", help="labels to an evaluation report")
     ev.add_argument("--predictor", choices=("mock",), default="mock")
@@ -42,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
         from drillmill.sources.sinks import write_csv
 
         rows = run_batch(spark, args.input or settings.input_folder, settings, read_text(settings.prompt_file) if settings.prompt_file else "")
-        write_csv(rows, args.output or settings.output_csv, single_file=True)
+        write_csv(rows, args.output or settings.output_csv, single_file=args.single_file)
         return 0
     from drillmill.operators.predict import MockPredictor
     from drillmill.plans.pipeline import run_eval

@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drillmill.session import cut
+
 
 def with_place(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Adds the 1-based place of each row in the order given.
 
-    Rows are range-partitioned and sorted once; the sizes of the partitions, a row for each, become offsets.
+    Rows are range-partitioned, sorted and written once, as both uses of a row's partition must see the same one; the sizes of
+    the partitions, a row for each, become offsets.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     offset = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = parts.join(F.broadcast(offset.select("_part", "_first", "_offset")), "_part")

@@ -6,38 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillmill.functions.jsonx import response_cells
-from drillmill.operators.checkbox import checkbox_cells
+from drillmill.operators.checkbox import checkbox_cells, checkbox_pass, locate_groups
 from drillmill.operators.extract import backfill, extract_rows
 from drillmill.operators.metrics import evaluate
 from drillmill.operators.predict import MockPredictor
-from drillmill.ports import ask_pages, rasterise
+from drillmill.ports import ask_pages, ask_regions, rasterise, read_words
 from drillmill.session import cut
 from drillmill.settings import Settings
 from drillmill.sources.files import read_files
 from drillmill.sources.labels import label_cells
 
 
-def rows_from_responses(files: DataFrame, responses: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Output rows of files from stored answers.
+def rows_from_responses(files: DataFrame, responses: DataFrame, settings: Settings | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """Output rows of files from stored answers; overrides are the checkbox pass's cells, by default those of stored answers.
 
     A page whose answer is an error makes the whole file NA, as a failed call does in a serial run; with
     failure_scope="page" only that page's fields are missing. An answer that holds no object costs its page only.
     """
     settings = settings or Settings()
-    over = checkbox_cells(responses) if settings.checkbox_enabled else None
-    rows = extract_rows(files, response_cells(responses), over)
+    if not settings.checkbox_enabled:
+        overrides = None
+    elif overrides is None:
+        overrides = checkbox_cells(responses)
+    rows = extract_rows(files, response_cells(responses), overrides)
     if settings.failure_scope == "page":
         return rows
-    failed = responses.where((F.col("task") == "page") & F.col("raw").isNull()).select("source_file").distinct()
+    # a page that was asked again and answered then is no failure
+    asked = responses.where(F.col("task") == "page").groupBy("source_file", "page_no").agg(F.max(F.col("raw").isNotNull()).alias("answered"))
+    failed = asked.where(~F.col("answered")).select("source_file").distinct()
     return backfill(files, rows.join(failed, "source_file", "left_anti"))
 
 
 def run_batch(spark: SparkSession, folder: str, settings: Settings | None = None, prompt: str = "") -> DataFrame:
     """Rows of all files of a folder; one page's answer is asked for once and kept in the checkpoint folder."""
     settings = settings or Settings()
-    files = read_files(spark, folder)
-    pages = rasterise(files, settings)
-    return rows_from_responses(files.select("source_file"), cut(ask_pages(pages, settings, prompt)), settings)
+    files = cut(read_files(spark, folder))
+    pages = cut(rasterise(files, settings))
+    answers = cut(ask_pages(pages, settings, prompt))
+    overrides = run_checkbox_pass(pages, settings) if settings.checkbox_enabled else None
+    return rows_from_responses(files.select("source_file"), answers, settings, overrides)
+
+
+def run_checkbox_pass(pages: DataFrame, settings: Settings) -> DataFrame:
+    """Override cells of the pages: words, labels, regions, one question for each region, kept before use. Words are read once a page."""
+    regions = locate_groups(read_words(pages))
+    asked = regions.join(pages.select("source_file", "page_no", "image"), ["source_file", "page_no"])
+    return checkbox_pass(pages, cut(ask_regions(asked, settings)))
 
 
 def run_eval(labels: DataFrame, predictor: MockPredictor | None = None) -> tuple[DataFrame, DataFrame]:

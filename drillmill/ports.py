@@ -73,10 +73,15 @@ def register_backend(name: str, make: Callable[[Settings], VisionBackend]) -> No
     _BACKENDS[name] = make
 
 
-def get_backend(settings: Settings) -> VisionBackend:
+def backend_maker(settings: Settings) -> Callable[[Settings], VisionBackend]:
+    """Looked up on the driver and sent to the workers, which know no registered backends."""
     if settings.vlm_backend not in _BACKENDS:
         raise ValueError(f"unknown backend {settings.vlm_backend!r}; there are {sorted(_BACKENDS)}")
-    return _BACKENDS[settings.vlm_backend](settings)
+    return _BACKENDS[settings.vlm_backend]
+
+
+def get_backend(settings: Settings) -> VisionBackend:
+    return backend_maker(settings)(settings)
 
 
 def rasterise(files: DataFrame, settings: Settings, make: Callable[[], Rasteriser] = MockRasteriser) -> DataFrame:
@@ -96,30 +101,71 @@ def rasterise(files: DataFrame, settings: Settings, make: Callable[[], Rasterise
     return files.select("source_file", "content").mapInPandas(run, "source_file string, page_no int, image binary, width int, height int, error string")
 
 
+class Cropper(Protocol):
+    def crop(self, image: bytes, box: tuple[int, int, int, int]) -> bytes: ...
+
+
+class MockCropper:
+    """No picture: the region's corners beside the page's bytes."""
+
+    def crop(self, image: bytes, box: tuple[int, int, int, int]) -> bytes:
+        return repr(box).encode() + image
+
+
+#: What the model is asked about a region, and the form of its answer (fixed values).
+CHECKBOX_PROMPT = "Which of these boxes are ticked in the picture: {options}? {many} Answer with JSON: {{\"selected\": [...]}}; use [\"NA\"] if none is."
+CHECKBOX_SCHEMA = {"type": "object", "properties": {"selected": {"type": "array", "items": {"type": "string"}}}, "required": ["selected"]}
+CHECKBOX_TOKENS = 200
+
+
+def ask_regions(regions: DataFrame, settings: Settings, crop: Callable[[], Cropper] = MockCropper) -> DataFrame:
+    """responses with a column field: one answer for each region (source_file, page_no, field, options, multi, image, vx1 to vy2)."""
+
+    make = backend_maker(settings)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        backend, cropper = make(settings), crop()
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                try:
+                    prompt = CHECKBOX_PROMPT.format(options=", ".join(r.options), many="Several may be." if r.multi else "One at most is.")
+                    part = cropper.crop(bytes(r.image or b""), (int(r.vx1), int(r.vy1), int(r.vx2), int(r.vy2)))
+                    raw = backend.chat(prompt=prompt, images=[part], json_schema=CHECKBOX_SCHEMA, temperature=0.0, max_tokens=CHECKBOX_TOKENS)
+                    rows.append((r.source_file, r.page_no, r.field, "checkbox", raw, None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((r.source_file, r.page_no, r.field, "checkbox", None, str(e)))
+            yield pd.DataFrame(rows, columns=["source_file", "page_no", "field", "task", "raw", "error"])
+
+    return regions.mapInPandas(run, "source_file string, page_no int, field string, task string, raw string, error string")
+
+
 def read_words(pages: DataFrame, make: Callable[[], WordReader] = MockWordReader, psm: int = 6) -> DataFrame:
-    """words: one row per token of each page; a page is read once for all groups that look at it."""
+    """words: one row per token of each page, with the page's size; a page is read once for all groups that look at it."""
     names = ["text", "block_num", "par_num", "line_num", "left", "top", "width", "height"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         port = make()
         for batch in batches:
             rows = []
-            for name, page, image in zip(batch["source_file"], batch["page_no"], batch["image"], strict=True):
+            for name, page, image, width, height in zip(batch["source_file"], batch["page_no"], batch["image"], batch["width"], batch["height"], strict=True):
                 try:
-                    rows += [(name, page, k, *(w[n] for n in names)) for k, w in enumerate(port.words(bytes(image or b""), psm))]
+                    rows += [(name, page, width, height, k, *(w[n] for n in names)) for k, w in enumerate(port.words(bytes(image or b""), psm))]
                 except Exception:  # noqa: BLE001, S112
                     continue
-            yield pd.DataFrame(rows, columns=["source_file", "page_no", "token_idx", *names])
+            yield pd.DataFrame(rows, columns=["source_file", "page_no", "page_width", "page_height", "token_idx", *names])
 
     ints = ", ".join(f"{n} int" for n in names[1:])
-    return pages.where("page_no is not null").select("source_file", "page_no", "image").mapInPandas(run, f"source_file string, page_no int, token_idx int, text string, {ints}")
+    return pages.where("page_no is not null").select("source_file", "page_no", "image", "width", "height").mapInPandas(run, f"source_file string, page_no int, page_width int, page_height int, token_idx int, text string, {ints}")
 
 
 def ask_pages(pages: DataFrame, settings: Settings, prompt: str) -> DataFrame:
     """responses: source_file, page_no, task, raw, error; write them before use, a model isn't asked twice."""
 
+    make = backend_maker(settings)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = get_backend(settings)
+        backend = make(settings)
         for batch in batches:
             rows = []
             for name, page, image in zip(batch["source_file"], batch["page_no"], batch["image"], strict=True):

@@ -21,17 +21,17 @@ def order_files(files: DataFrame) -> DataFrame:
     return files.where(is_input(F.col("path"))).orderBy(F.lower(base_name(F.col("path"))), "path")
 
 
+#: The same suffixes for a listing: each letter in both cases.
+_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x[1:]) for x in SUFFIXES) + "}"
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, source_file, content, modified_at of a folder's files, not of its subfolders; raises if there is no such folder.
 
-    Contents are read only for files whose suffix passes, as the listing is filtered first.
+    The listing is filtered by suffix, so that other files aren't read.
     """
-    raw = spark.read.format("binaryFile").load(folder)
-    paths = [r["path"] for r in raw.select("path").where(is_input(F.col("path"))).collect()]  # names of one folder, as listed by the driver anyway
-    if not paths:
-        return raw.where(F.lit(False)).select("path", base_name(F.col("path")).alias("source_file"), "content", F.col("modificationTime").alias("modified_at"))
-    chosen = spark.read.format("binaryFile").load(paths)
-    return chosen.select("path", base_name(F.col("path")).alias("source_file"), "content", F.col("modificationTime").alias("modified_at"))
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", _GLOB).load(folder)
+    return raw.where(is_input(F.col("path"))).select("path", base_name(F.col("path")).alias("source_file"), "content", F.col("modificationTime").alias("modified_at"))
 
 
 def latest_files(files: DataFrame) -> DataFrame:

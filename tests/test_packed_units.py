@@ -96,7 +96,26 @@ def test_graph_propagates_and_rejects():
     got = units.solve_sources(rows, {"sheet:M": None, "sheet:S": None, "sheet:X": None, "sheet:Y": None, "sheet:Z": None})
     assert got["sheet:M"][0] == "minutes"
     assert got["sheet:S"][:2] == ("seconds", "estimated")  # reached through M
-    assert not {"sheet:X", "sheet:Y", "sheet:Z"} & set(got)  # between units; scattered; too few links
+    assert all(got[s][:2] == (None, "not resolved") for s in ("sheet:X", "sheet:Y", "sheet:Z"))  # between units; scattered; too few links
+
+
+def test_print_starts_and_checks():
+    import math
+
+    rows = [_row("stated", "stated", 100, 0.6), _row("stated", "sheet:M", 50, 0.6 - math.log(60)), _row("sheet:P", "sheet:Q", 50, 0.6 + math.log(60))]
+    got = units.solve_sources(rows, {"sheet:M": "seconds", "sheet:P": "minutes", "sheet:Q": None})
+    assert got["sheet:M"][:2] == ("seconds", "printed, estimate differs")
+    assert got["sheet:Q"][:2] == ("seconds", "estimated")  # only from what P prints
+    assert units.recovered(rows, {"sheet:M": "minutes", "sheet:P": "minutes"}) == (1, 2)
+
+
+def test_hidden_units_are_recovered(spark):
+    folder = "/root/testdata/sf0.1"
+    known = units.read_templates(spark.read.parquet(f"{folder}/form_templates.parquet"))
+    estimates = units.pair_estimates(units.measurements(spark.read.parquet(f"{folder}/forms.parquet"), known)).collect()
+    right, asked = units.recovered(estimates, {f"sheet:{c}": u for c, u in known.items()})
+    assert asked >= 4
+    assert right / asked >= 0.9
 
 
 def test_estimate_agrees_with_print(spark):

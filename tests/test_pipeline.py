@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from drillmill import cli
-from drillmill.plans.pipeline import rows_from_responses, run_batch, run_eval
-from drillmill.ports import MockRasteriser, get_backend, rasterise, read_words
-from drillmill.schema import FIELD_LIST
+from drillmill.operators import checkbox
+from drillmill.plans.pipeline import rows_from_responses, run_batch, run_checkbox_pass, run_eval
+from drillmill.ports import MockRasteriser, get_backend, rasterise, read_words, register_backend
+from drillmill.schema import CHECKBOX_FIELDS, FIELD_LIST
 from drillmill.settings import Settings, load_settings
 from drillmill.sources import files, labels, sinks, synthetic
 from drillmill.sources.tables import forms_once
@@ -38,9 +39,54 @@ def test_files(spark, tmp_path):
 
 def test_batch_of_mock_answers(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"one\ftwo")
-    rows = run_batch(spark, str(tmp_path)).collect()
+    rows = run_batch(spark, str(tmp_path), Settings(checkbox_enabled=False)).collect()
     assert len(rows) == 1
     assert "NA" not in set(rows[0])
+    erased = run_batch(spark, str(tmp_path)).first().asDict()  # no label is found: NA takes the model's value
+    assert {f for f, v in erased.items() if v == "NA"} == set(CHECKBOX_FIELDS)
+
+
+def boxes():
+    import json
+    import re
+
+    class Boxes:
+        """Ticks the first option and one that isn't there."""
+
+        def __init__(self, settings):
+            pass
+
+        def chat(self, *, prompt, images, json_schema, temperature, max_tokens):
+            if "selected" not in json_schema["properties"]:
+                return "{}"
+            if "Announced" in prompt:
+                raise TimeoutError
+            return json.dumps({"selected": [re.search(r": ([^,?]+)", prompt)[1], "Siren"]})
+
+    return Boxes
+
+
+def test_checkbox_pass(spark, tmp_path):
+    register_backend("boxes", boxes())
+    lines = [""] * 20 + ["Method of Alarm Activation: x", "Evacuation Type: y", "Evacuation type again: z"]
+    (tmp_path / "a.pdf").write_bytes("\n".join(lines).encode() + b"\f" + "\n".join([""] * 125 + ["Did evac time meet location requirement: no"]).encode())
+    (tmp_path / "b.pdf").write_bytes("\n".join(["Method of Alarm Activation: x"] + lines[:20]).encode())
+    settings = Settings(vlm_backend="boxes", pdf_render_dpi=300)
+    pages = rasterise(files.read_files(spark, str(tmp_path)), settings)
+    regions = {(r.source_file, r.field): r for r in checkbox.locate_groups(read_words(pages)).collect()}
+    assert set(regions) == {("a.pdf", f) for f in CHECKBOX_FIELDS}
+    assert regions["a.pdf", "Evacuation_Type"].vy1 == 20 * 21 - 25  # the topmost of two lines
+    got = {(r.source_file, r.field): r.scalar or r["items"] for r in run_checkbox_pass(pages, settings).collect()}
+    assert got["a.pdf", "Method_of_Alarm_Activation"] == ["Pull Station"]
+    assert got["a.pdf", "Evacuation_Type"] == "Full Evacuation to Outside"
+    assert got["a.pdf", "Did_evacuation_time_meet_location_requirement"] == "Yes"
+    assert got["a.pdf", "Type_of_Evacuation"] == "NA"  # the model failed
+    assert {f: v for (n, f), v in got.items() if n == "b.pdf"} == {"Method_of_Alarm_Activation": ["NA"], "Evacuation_Type": "NA", "Type_of_Evacuation": "NA"}  # outside its band; no second page
+
+
+def test_a_repeated_call_mends_a_page(spark):
+    answers = spark.createDataFrame([("a", 1, "page", None, "timeout"), ("a", 1, "page", '{"Location": "Den"}', None)], "source_file string, page_no int, task string, raw string, error string")
+    assert rows_from_responses(answers.select("source_file").distinct(), answers).first().Location == "Den"
 
 
 def test_failed_page_makes_the_form_na(spark):
