@@ -376,6 +376,34 @@ def value_roi(spark, folder):
     return lines.select("source_file", "line_num", roi.alias("r")).select("source_file", "line_num", "r.*")
 
 
+#: Groups to look for in the documents' lines: page, field, keywords, options, several, band, output.
+_BOXES = ((1, "alarm", ["alarm"], ["Yes", "No"], False, 0.0, 0.5, "first"), (1, "door", ["door"], ["Yes", "No"], False, 0.05, 0.9, "first"), (1, "staff", ["staff"], ["Yes", "No"], True, 0.1, 1.0, "list"))
+_BOX_VALUES = ", ".join(f"('{f}', {k}, CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for _, f, k, _, _, lo, hi, _ in _BOXES)
+
+
+@query(
+    "checkbox_regions",
+    f"WITH {_WORDS}, seen AS (SELECT g.*, s.field, s.keywords FROM grid g CROSS JOIN (VALUES {_BOX_VALUES}) s(field, keywords, lo, hi) WHERE g.y >= floor(200 * s.lo) AND g.y < floor(200 * s.hi)), "
+    f"l AS (SELECT source_file, field, keywords, line_num, min(x) AS x1, min(y) AS y1, max(x + w) AS x2, min(token_idx) AS first_idx, trim(regexp_replace(string_agg({_NORM.format('text')}, ' ' ORDER BY token_idx), ' +', ' ', 'g')) AS t, CAST(trunc(arg_min(x + 0.8 * w, token_idx) FILTER (WHERE contains(text, ':'))) AS INT) AS colon FROM seen GROUP BY ALL), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY source_file, field ORDER BY y1, first_idx) AS n FROM l WHERE len(list_filter(keywords, lambda w: contains(t, w))) = len(keywords)), "
+    "c AS (SELECT *, greatest(y1 - 25, 0) AS top, coalesce(colon, least(x2 + 10, 2549)) AS c FROM k WHERE n = 1) "
+    "SELECT source_file, field, CAST(least(c + 2, 2549) AS INT) AS vx1, CAST(top AS INT) AS vy1, CAST(greatest(2540, least(c + 2, 2549) + 1) AS INT) AS vx2, CAST(least(top + 95, 200) AS INT) AS vy2 FROM c",
+)
+def checkbox_regions(spark, folder):
+    """Where each group's label stands in its band of the page, and the region that a model would be asked about."""
+    words = _words(spark, folder).withColumn("page_width", F.lit(2550)).withColumn("page_height", F.lit(200))
+    return checkbox.locate_groups(words, _BOXES).select("source_file", "field", "vx1", "vy1", "vx2", "vy2")
+
+
+@query("checkbox_always_valued", f"WITH pages AS (SELECT DISTINCT source_file, page_no FROM responses WHERE page_no IN (1, 2)) SELECT source_file, page_no, field, CASE WHEN is_list THEN 'list' ELSE 'NA' END AS v FROM pages JOIN (VALUES {', '.join(f'({p}, {chr(39)}{f}{chr(39)}, {str(o == chr(108) + chr(105) + chr(115) + chr(116)).lower()})' for p, f, _, _, _, _, _, o in checkbox.CHECKBOX_SPEC)}) s(page_no, field, is_list) USING (page_no)")
+def checkbox_always_valued(spark, folder):
+    """The override cells of pages on which no label is found: each group of pages 1 and 2 gets its empty value, other pages none."""
+    responses = read_table(spark, folder, "responses")
+    none = responses.where(F.lit(False)).select("source_file", "page_no", F.lit("").alias("field"), "raw")
+    cells = checkbox.checkbox_pass(responses, none)
+    return cells.select("source_file", "page_no", "field", F.when(F.col("is_list"), F.when(F.array_contains("items", "NA"), "list")).otherwise(F.col("scalar")).alias("v"))
+
+
 @query(
     "skew_median_clamp",
     "WITH a AS (SELECT l_orderkey AS page, round(degrees(atan2(l_discount * 100 - 5, l_quantity - 25)), 6) AS angle, l_quantity - 25 AS dx FROM lineitem) "

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from drillmill import cli
 from drillmill.operators import checkbox
-from drillmill.plans.pipeline import rows_from_responses, run_batch, run_checkbox_pass, run_eval
+from drillmill.operators.ablation import ABLATIONS
+from drillmill.plans.pipeline import RealPredictor, extract_one, rows_from_responses, run_ablations, run_batch, run_checkbox_pass, run_eval
 from drillmill.ports import MockRasteriser, get_backend, rasterise, read_words, register_backend
-from drillmill.schema import CHECKBOX_FIELDS, FIELD_LIST
+from drillmill.schema import CHECKBOX_FIELDS, FIELD_LIST, LIST_FIELDS
 from drillmill.settings import Settings, load_settings
 from drillmill.sources import files, labels, sinks, synthetic
 from drillmill.sources.tables import forms_once
@@ -166,3 +167,20 @@ def test_streaming_intake(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.source_file, r.Location) for r in got] == [("a.pdf", "Den")]
+
+
+def test_real_predictor_and_ablations(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one\ftwo")
+    row = run_batch(spark, str(tmp_path), Settings(checkbox_enabled=False)).first().asDict()
+    fields = {f: row[f].split("; ") if f in LIST_FIELDS else row[f] for f in FIELD_LIST}
+    (tmp_path / "labels.jsonl").write_text(json.dumps({"source_file": "a.pdf", "fields": fields}))
+    gold = labels.read_labels(spark, str(tmp_path / "labels.jsonl"))
+    _, summary = run_eval(gold, RealPredictor(str(tmp_path), Settings(checkbox_enabled=False)))
+    assert summary.first().overall_exact == 1.0
+    rows = run_ablations(gold, str(tmp_path)).collect()
+    table = {r.config: r for r in rows}
+    assert set(table) == set(ABLATIONS)
+    assert table["no checkbox pass"].delta == pytest.approx(4 / 30)
+    assert sinks.render_ablations(spark.createDataFrame(rows)).count("\n") == len(ABLATIONS) + 1
+    one = extract_one(spark, str(tmp_path / "a.pdf"), Settings(checkbox_enabled=False)).first()
+    assert one.Location == row["Location"]
