@@ -85,6 +85,34 @@ def test_bare_times(make_forms, templates):
     assert units.to_seconds(forms, templates.where("1 = 0")).where("form_id = 1").count() == 0
 
 
+def test_seconds_wait_for_no_estimate(make_forms, templates):
+    ground, text = units.TIME_FIELDS[0], units.TEXT_FIELDS[0]
+    forms = make_forms({"form_id": 1, "template_code": "FD-A", ground: "2.5"}, {"form_id": 2, "template_code": "FD-X", ground: "41", text: "Times on this sheet are in seconds."})
+    unread = forms.withColumn(ground, F.raise_error(F.lit("forms are read")).cast("string"))
+    assert units.to_seconds(unread, templates).columns == ["form_id", "field", "seconds"]  # nothing runs before the rows are asked for
+    with pytest.raises(Exception, match="forms are read"):
+        units.to_seconds(unread, templates).collect()
+    plan = units.to_seconds(forms, templates)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # forms once
+    assert sorted((r.form_id, r.seconds) for r in units.to_seconds(forms, templates).collect()) == [(1, 150), (2, 41)]
+
+
+def test_told_units_make_the_rows_and_estimates_the_report(make_forms, templates):
+    """FD-A prints minutes over numbers that look like seconds; FD-X prints nothing over numbers that are clearly seconds."""
+    ground, safe = units.TIME_FIELDS
+    n = units.MIN_LINKS
+    forms = make_forms(
+        *({"form_id": i, ground: "100 s", safe: "200 s"} for i in range(n)),
+        *({"form_id": n + i, "template_code": "FD-A", ground: "100 s", safe: "200"} for i in range(n)),
+        *({"form_id": 2 * n + i, "template_code": "FD-X", ground: "100 s", safe: "200"} for i in range(n)),
+    )
+    report = {r.source: (r.unit, r.known_by) for r in units.unit_report(forms, templates).collect()}
+    assert report["sheet:FD-A"] == ("minutes", "printed, estimate differs")
+    assert report["sheet:FD-X"] == ("seconds", "estimated")
+    got = {(r.form_id // n, r.field): r.seconds for r in units.to_seconds(forms, templates).collect()}
+    assert got == {(0, ground): 100, (0, safe): 200, (1, ground): 100, (1, safe): 12_000, (2, ground): 100}
+
+
 def _row(a, b, links, mid, near=1.0):
     return {"source0": a, "source1": b, "links": links, "mid": mid, "near": near}
 
